@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, packing, pii
 from .common import table
 
 
@@ -23,6 +23,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [pii.count(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE]
+    base = F.sha2(pii.listed(F.col("spans"), pii.BASE), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, pii.listed(F.col("spans"), pii.KINDS).alias("spans"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op8_pii": op8_pii, "op10_packing": op10_packing}
 #: DuckDB SQL where it can express a query.
 ORACLES: dict[str, str] = {}
