@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii
+from . import bpe, packing, pii, quality
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [pii.count(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE]
@@ -34,6 +38,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op8_pii": op8_pii, "op10_packing": op10_packing}
+QUERIES = {"op1_bpe": op1_bpe, "op4_quality": op4_quality, "op8_pii": op8_pii, "op10_packing": op10_packing}
 #: DuckDB SQL where it can express a query.
 ORACLES: dict[str, str] = {}
