@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality
+from . import bpe, packing, pii, quality, simhash
 from .common import table
 
 
@@ -34,10 +34,15 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base, pii.listed(F.col("spans"), pii.KINDS).alias("spans"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_quality": op4_quality, "op8_pii": op8_pii, "op10_packing": op10_packing}
+QUERIES = {"op1_bpe": op1_bpe, "op4_quality": op4_quality, "op8_pii": op8_pii, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
 #: DuckDB SQL where it can express a query.
 ORACLES: dict[str, str] = {}
