@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, simhash
+from . import bpe, packing, pii, quality, simhash, substring
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.strip(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [pii.count(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE]
@@ -43,6 +47,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_quality": op4_quality, "op8_pii": op8_pii, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
+QUERIES = {"op1_bpe": op1_bpe, "op4_quality": op4_quality, "op5_substring": op5_substring, "op8_pii": op8_pii, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
 #: DuckDB SQL where it can express a query.
 ORACLES: dict[str, str] = {}
