@@ -53,7 +53,7 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan: file sizes for a scan. Driver-side metadata only."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def buckets(df: DataFrame, bytes_per_bucket: int = 8 << 20) -> int:

@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, simhash, substring
-from .common import table
+from . import bpe, packing, pii, quality, scoring, simhash, substring
+from .common import crc_mod, table
 
 
 def _vocabulary(name: str) -> str:
@@ -23,6 +23,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) == 0)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_quality": op4_quality, "op5_substring": op5_substring, "op8_pii": op8_pii, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
+QUERIES = {"op1_bpe": op1_bpe, "op2_scoring": op2_scoring, "op4_quality": op4_quality, "op5_substring": op5_substring, "op8_pii": op8_pii, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
 #: DuckDB SQL where it can express a query.
 ORACLES: dict[str, str] = {}
