@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, scoring, simhash, substring
+from . import bpe, html, packing, pii, quality, scoring, simhash, substring
 from .common import crc_mod, table
 
 
@@ -27,6 +27,10 @@ def op2_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) == 0)
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +55,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_scoring": op2_scoring, "op4_quality": op4_quality, "op5_substring": op5_substring, "op8_pii": op8_pii, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
+QUERIES = {"op1_bpe": op1_bpe, "op2_scoring": op2_scoring, "op3_html": op3_html, "op4_quality": op4_quality, "op5_substring": op5_substring, "op8_pii": op8_pii, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
 #: DuckDB SQL where it can express a query.
 ORACLES: dict[str, str] = {}
