@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, packing, pii, quality, scoring, simhash, substring, toxicity
+from . import bpe, embedding, html, packing, pii, quality, scoring, simhash, substring, toxicity
 from .common import crc_mod, table
 
 
@@ -43,6 +43,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) == 0)
 
 
+def op7_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.classes(table(spark, sf_dir, "embeddings"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [pii.count(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE]
@@ -59,6 +63,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_scoring": op2_scoring, "op3_html": op3_html, "op4_quality": op4_quality, "op5_substring": op5_substring, "op6_toxicity": op6_toxicity, "op8_pii": op8_pii, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
+QUERIES = {"op1_bpe": op1_bpe, "op2_scoring": op2_scoring, "op3_html": op3_html, "op4_quality": op4_quality, "op5_substring": op5_substring, "op6_toxicity": op6_toxicity, "op7_embedding": op7_embedding, "op8_pii": op8_pii, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
 #: DuckDB SQL where it can express a query.
 ORACLES: dict[str, str] = {}
