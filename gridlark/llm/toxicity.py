@@ -28,7 +28,7 @@ from .common import map_arrow
 BITS, SHORTEST, LONGEST = 20, 3, 6
 #: Most training rows of class 0 and of class 1.
 SAMPLE = (2000, 1000)
-LEAST_DOCUMENTS, SMOOTHING, LEAST_RATIO, PENALTY, STEPS, RATE = 5, 1.0, 0.5, 1.0, 150, 0.05
+LEAST_DOCUMENTS, SMOOTHING, LEAST_RATIO, PENALTY, STEPS, RATE = 5, 1.0, 1.5, 5.0, 150, 0.05
 #: Words whose features a worker keeps; beyond it, the half that came last goes.
 CACHE = 400_000
 _EDGES = ".,!?;:*#$%&|\"'()[]"
