@@ -11,14 +11,14 @@ from . import bpe, embedding, html, packing, pii, quality, scoring, simhash, sub
 from .common import crc_mod, table
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
     return os.environ.get("GRIDLARK_TOKENIZERS", os.path.dirname(public_tokenizers.path(name))) + "/" + name
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _vocabulary("byte_bpe_multi_50k.tiktoken")
+    path = vocabulary_path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -60,7 +60,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_scoring": op2_scoring, "op3_html": op3_html, "op4_quality": op4_quality, "op5_substring": op5_substring, "op6_toxicity": op6_toxicity, "op7_embedding": op7_embedding, "op8_pii": op8_pii, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
