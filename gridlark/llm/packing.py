@@ -13,6 +13,8 @@ packed like others; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -27,8 +29,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import _pieces, ascii_words, stash
 
-#: Words that a worker's cache may hold before it starts anew.
-CACHE = 400_000
+#: Words that a worker's cache may hold; beyond it, the half that came last goes, since frequent words come early.
+CACHE = 800_000
 
 
 class WordTokens:
@@ -42,17 +44,39 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = Tokenizer.from_str(json.dumps(json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
         self.cache: dict[bytes, bytes] = {}
+        self.points = {x: self._ids(self.tokenizer, [x.decode()])[0] for x in (b"", b".", b",")}
+
+    @staticmethod
+    def _ids(tokenizer, words: list[str]) -> list[bytes]:
+        ids = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        packed = np.fromiter(itertools.chain.from_iterable(ids), "<u4").tobytes()
+        ends = list(itertools.accumulate([4 * len(x) for x in ids], initial=0))
+        return [packed[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Plain ASCII letters, with one point or comma at most, need the merges alone: the rest of the tokenizer would only lower their case and split that off."""
+        plain, other = {}, []
+        for w in new:
+            stem = w[:-1] if w[-1] in b".," else w
+            if stem.isalpha():  # of bytes: ASCII letters
+                plain[w] = stem.lower()
+            else:
+                other.append(w)
+        stems = list(set(plain.values()))
+        ids = dict(zip(stems, self._ids(self.bare, [x.decode() for x in stems])))
+        self.cache.update((w, ids[s] + self.points[w[len(s) :]]) for w, s in plain.items())
+        self.cache.update(zip(other, self._ids(self.tokenizer, [w.decode() for w in other])))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as packed little-endian unsigned 32-bit integers."""
         words = [ascii_words(x) for x in texts]
         cache = self.cache
         if len(cache) > CACHE:
-            cache.clear()
-        if new := list(set().union(*words).difference(cache)):
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
+            for w in list(cache)[CACHE // 2 :]:
+                del cache[w]
+        self._learn(set().union(*words).difference(cache))
         return [b"".join(map(cache.__getitem__, w)) for w in words]
 
 
