@@ -16,6 +16,7 @@ import functools
 import itertools
 import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -32,6 +33,9 @@ from .common import _pieces, ascii_words, stash
 #: Words that a worker's cache may hold; beyond it, the half that came last goes, since frequent words come early.
 CACHE = 800_000
 
+#: Letters whose lower case is one letter and that no composition changes, then punctuation without apostrophes.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*+,\-./:;=?@|~]*)")
+
 
 class WordTokens:
     """A tokenizers file, with a cache of words between ASCII white space.
@@ -44,30 +48,47 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.bare = Tokenizer.from_str(json.dumps(json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+        rules = json.loads(self.tokenizer.to_str())
+        letters = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.bare = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": letters, "added_tokens": []}))
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith(rules["model"]["end_of_word_suffix"])]] = True
         self.cache: dict[bytes, bytes] = {}
-        self.points = {x: self._ids(self.tokenizer, [x.decode()])[0] for x in (b"", b".", b",")}
+        self.tails: dict[str, bytes] = {}
 
-    @staticmethod
-    def _ids(tokenizer, words: list[str]) -> list[bytes]:
-        ids = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _whole(self, words: list[str]) -> list[bytes]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         packed = np.fromiter(itertools.chain.from_iterable(ids), "<u4").tobytes()
         ends = list(itertools.accumulate([4 * len(x) for x in ids], initial=0))
         return [packed[a:b] for a, b in zip(ends, ends[1:])]
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Words of lower-case letters, many in one call: each one's last token closes a word."""
+        joined = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in self.bare.encode_batch_fast(joined, add_special_tokens=False)), "<u4")
+        ends = [0, *(4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()]
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in zip(ends, ends[1:])]
+
     def _learn(self, new: set[bytes]) -> None:
-        """Plain ASCII letters, with one point or comma at most, need the merges alone: the rest of the tokenizer would only lower their case and split that off."""
-        plain, other = {}, []
+        """Plain letters, then punctuation, need the merges alone: the rest of the tokenizer would only lower their case and split that off."""
+        plain, other, tails = [], [], set()
         for w in new:
-            stem = w[:-1] if w[-1] in b".," else w
-            if stem.isalpha():  # of bytes: ASCII letters
-                plain[w] = stem.lower()
+            if found := _PLAIN.fullmatch(text := w.decode()):
+                stem, tail = found.groups()
+                plain.append((w, stem.lower(), tail))
+                tails.add(tail)
             else:
-                other.append(w)
-        stems = list(set(plain.values()))
-        ids = dict(zip(stems, self._ids(self.bare, [x.decode() for x in stems])))
-        self.cache.update((w, ids[s] + self.points[w[len(s) :]]) for w, s in plain.items())
-        self.cache.update(zip(other, self._ids(self.tokenizer, [w.decode() for w in other])))
+                other.append((w, text))
+        if len(self.tails) > 10_000:
+            self.tails.clear()
+        new_tails = list(tails.difference(self.tails))
+        self.tails.update(zip(new_tails, self._whole(new_tails)))
+        stems = list({s for _, s, _ in plain})
+        ids = dict(zip(stems, self._letters(stems)))
+        self.cache.update((w, ids[s] + self.tails[t]) for w, s, t in plain)
+        self.cache.update(zip([w for w, _ in other], self._whole([t for _, t in other])))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as packed little-endian unsigned 32-bit integers."""
