@@ -43,7 +43,7 @@ def number_column(x: Column) -> Column:
     sign = F.when(x < 0, "-").otherwise("")
     zeros = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), mantissa)
     digits = F.concat(F.substring(mantissa, 1, 1), F.when(F.length(mantissa) > 1, F.lit(".")).otherwise(""), F.substring(mantissa, 2, 400))
-    scientific = F.concat(sign, digits, F.when(power < 0, "E-").otherwise("E+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    scientific = F.concat(sign, digits, F.when(power < 0, "E-").otherwise("E+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
     large = F.abs(x) >= 1e15
     return (
         F.when(F.isnan(x) | (F.abs(x) == float("inf")), shortest)

@@ -35,7 +35,7 @@ def chart_items(p: Package, sheet: str, part: str) -> list[dict]:
     return [item(sheet, "chart", words or None, part, dict.fromkeys(texts(tree, "f")))]
 
 
-def related_items(p: Xlsx, sheet: str, part: str) -> list[dict]:
+def related_items(p: Package, sheet: str, part: str) -> list[dict]:
     out = []
     for kind, target, external in p.relations(part).values():
         tree = None if external else p.tree(target) if target.endswith((".xml", ".vml")) and kind != "vmlDrawing" else None
@@ -84,11 +84,11 @@ def workbook_items(p: Xlsx) -> list[dict]:
 def items_of(content: bytes) -> list[dict]:
     p = open_package(content)
     out = []
+    for sheet, part in p.sheets.items():
+        for kind, found in p.tail(sheet).items():
+            out += [item(sheet, kind, x.get("type"), x.get("ref"), detail=x.get("target") or x.get("formula")) for x in found]
+        out += related_items(p, sheet, part)
     if isinstance(p, Xlsx):
-        for sheet, part in p.sheets.items():
-            for kind, found in p.tail(sheet).items():
-                out += [item(sheet, kind, x.get("type"), x.get("ref"), detail=x.get("target") or x.get("formula")) for x in found]
-            out += related_items(p, sheet, part)
         out += workbook_items(p)
     if p.has_macros:
         from ..sources.vba import project
