@@ -211,7 +211,8 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", group: int =
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
     found = stash(spans(df, key, text), "spans")
     by_anchor = found.groupBy("anchor").agg(F.min("c1").alias("low"), F.max("c1").alias("high"), F.min("_key").alias("owner"), F.max("_key").alias("most"))
-    known = by_anchor.where("owner < most").select("anchor", (F.col("low") == F.col("high")).alias("plain"), "owner")
+    # Written, so that the join below shuffles both sides anew and can split a frequent anchor.
+    known = stash(by_anchor.where("owner < most").select("anchor", (F.col("low") == F.col("high")).alias("plain"), "owner"), "anchors")
     hits = stash(found.join(known, "anchor"), "hits")
     # Equal contents: the smallest key owns them.
     contents = hits.where("not plain").groupBy("c1", "c2").agg(F.min(F.struct("_key", "first")).alias("own"), F.min("anchor").alias("anchor"), F.min("left").alias("left"), F.min("windows").alias("windows"))
