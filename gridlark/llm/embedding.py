@@ -27,8 +27,8 @@ from .common import map_arrow, stash
 from .graph import components
 
 COSINE = 0.98
-#: Members of a cell at most, and pivots of a split at most.
-CELL, PIVOTS = 2048, 32
+#: Members of a cell at most; pivots of a split, about: at least and at most.
+CELL, LEAST_PIVOTS, PIVOTS = 2048, 6, 32
 #: Members of a tree node that isn't split further.
 LEAF = 64
 
@@ -163,14 +163,20 @@ def _sizes(tree: CoverTree, at: np.ndarray) -> np.ndarray:
 
 
 def split(points: DataFrame) -> DataFrame:
-    """points with `cell` refined until no cell holds more than CELL of them."""
+    """points with `cell` refined until no cell holds more than CELL of them.
+
+    Pivots are drawn by a hash of the node and the round, so a round that draws too few in a cell is
+    followed by another draw.
+    """
+    turn = 0
     while True:
+        turn += 1
         sizes = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL)
         sizes = stash(sizes, "sizes")
         if not sizes.head(1):
             return points
-        wanted = F.least(F.lit(float(PIVOTS)), F.ceil(2 * F.col("n") / F.lit(CELL))) / F.col("n")
-        chance = F.pmod(F.xxhash64("node", "cell"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        wanted = F.greatest(F.lit(float(LEAST_PIVOTS)), F.least(F.lit(float(PIVOTS)), F.ceil(2 * F.col("n") / F.lit(CELL)))) / F.col("n")
+        chance = F.pmod(F.xxhash64("node", "cell", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
         chosen = points.join(sizes, "cell").where(chance < wanted).groupBy("cell").agg(F.collect_list("vector").alias("pivots"))
         chosen = stash(chosen.where(F.size("pivots") > 1), "pivots")  # about PIVOTS of each cell
         schema = points.schema
@@ -206,8 +212,10 @@ def cells_of(points: DataFrame) -> DataFrame:
     schema = "label string, dims int, cell long, root array<double>, radius double, tree binary"
 
     def build(rows: pa.Table) -> pa.Table:
-        vectors = unit(np.array(rows.column("vector").to_pylist()))
+        given = rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+        vectors = unit(given)
         tree = CoverTree(vectors)
+        tree.points = given  # as stored: half the bytes; scaled again on arrival
         packed = pickle.dumps((tree, np.array(rows.column("node").to_pylist()), np.array(rows.column("copies").to_pylist())))
         one = lambda n: rows.column(n)[:1].to_pylist()
         return pa.table({"label": one("label"), "dims": pa.array([vectors.shape[1]], pa.int32()), "cell": one("cell"), "root": [vectors[0].tolist()], "radius": [tree.radius[0]], "tree": [packed]})
@@ -227,9 +235,9 @@ def link(points: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFram
     reach = F.col("radius_a") + F.col("radius_b") + F.lit(float(np.sqrt(2 - 2 * cosine)) + 1e-9)
     met = left.join(right, ["label", "dims"]).where(F.col("cell_a") <= F.col("cell_b")).where((F.col("cell_a") == F.col("cell_b")) | (apart <= reach)).select("cell_a", "cell_b")
     trees = cells.select("cell", "tree")
-    work = met.repartition("cell_a", "cell_b").join(trees.select(F.col("cell").alias("cell_a"), F.col("tree").alias("tree_a")), "cell_a")
+    work = met.join(trees.select(F.col("cell").alias("cell_a"), F.col("tree").alias("tree_a")), "cell_a")
     other = trees.select(F.col("cell").alias("cell_b"), F.col("tree").alias("tree_b"))
-    work = work.join(other, "cell_b").repartition("cell_a", "cell_b")
+    work = work.join(other, "cell_b")
     schema = "node long, n long, root long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,9 +245,10 @@ def link(points: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFram
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 a, nodes, copies = pickle.loads(row["tree_a"])
-                b = None
+                a.points, b = unit(a.points), None
                 if row["cell_a"] != row["cell_b"]:
                     b, more, extra = pickle.loads(row["tree_b"])
+                    b.points = unit(b.points)
                     nodes, copies = np.append(nodes, more), np.append(copies, extra)
                 links = Links(copies)
                 traverse(a, b, links, cosine)
