@@ -64,5 +64,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_scoring": op2_scoring, "op3_html": op3_html, "op4_quality": op4_quality, "op5_substring": op5_substring, "op6_toxicity": op6_toxicity, "op7_embedding": op7_embedding, "op8_pii": op8_pii, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
-#: DuckDB SQL where it can express a query.
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL where it can express a query: the others need hashes, tokenizers, learning or parsing that SQL has not.
+ORACLES: dict[str, str] = {
+    "op5_substring": """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS k FROM d, unnest(range(1, len(w) - 48)) AS t(i) WHERE len(w) >= 50),
+owners AS (SELECT k, min(doc_id) AS owner FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + j AS place FROM windows JOIN owners USING (k), unnest(range(0, 50)) AS t(j) WHERE owner < doc_id),
+places AS (SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id),
+words AS (SELECT doc_id, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.i = gone.place GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op7_embedding": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_dot_product(embedding, embedding) > 0),
+pairs AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x),
+links AS (SELECT x, count(*) AS n FROM pairs GROUP BY x)
+SELECT e.vec_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_links, min(y) AS component_id, e.vec_id = min(y) AS kept
+FROM embeddings e JOIN reach ON e.vec_id = reach.x LEFT JOIN links ON links.x = e.vec_id GROUP BY e.vec_id""",
+}
