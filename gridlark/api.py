@@ -14,6 +14,7 @@ from .plans import execute as plan
 from .plans.address import MAX_CELLS, Range, parse_cell, parse_range
 from .plans.ast import Agg, Binary, Col, Expr, Header, Lit, QuerySpec, Selection, key
 from .sources.sheet import ROW, Sheet, parquet_sheet, physical, table_sheet
+from .streaming.rows import plain, rows
 
 
 class QueryAggregates:
@@ -90,8 +91,8 @@ class Workbook:
         found = self.sheet(sheet)
         if found.names is not None and row == 1:
             return found.names[column - 1] if column <= found.width else None
-        rows = found.df.where(F.col(ROW) == row).select(found.value(column).col.alias("v")).limit(1).collect()
-        return plan._plain(rows[0][0]) if rows else None
+        found_rows = found.df.where(F.col(ROW) == row).select(found.value(column).col.alias("v")).limit(1).collect()
+        return plain(found_rows[0][0]) if found_rows else None
 
     def read_range(self, sheet: str, area: str | Range) -> DataFrame:
         """The dense rectangle: every row of the range, absent ones with empty cells."""
@@ -99,16 +100,13 @@ class Workbook:
         if area.unbounded or area.width * area.height > MAX_CELLS:
             raise RangeTooLarge(f"{area} has too many cells.")
         columns = [found.value(c).col.alias(physical(c)) for c in range(area.left, area.right + 1)]
-        rows = found.rows(area).select(ROW, *columns)
+        present = found.rows(area).select(ROW, *columns)
         every = self.spark.range(area.top, area.bottom + 1).select(F.col("id").alias(ROW))
-        return every.join(rows, ROW, "left").orderBy(ROW)
+        return every.join(present, ROW, "left").orderBy(ROW)
 
     def stream_rows(self, sheet: str, area: str | Range = ":") -> Iterator[tuple[int, list]]:
         """(row number, values) of the present rows, in order, one partition at a time."""
-        found, area = self.sheet(sheet), parse_range(area) if isinstance(area, str) else area
-        columns = [found.value(c).col.alias(physical(c)) for c in range(area.left, min(area.right, found.width) + 1)]
-        for r in found.rows(area).select(ROW, *columns).orderBy(ROW).toLocalIterator():
-            yield r[0], [plan._plain(v) for v in r[1:]]
+        return rows(self.sheet(sheet), parse_range(area) if isinstance(area, str) else area)
 
     def query_range(self, sheet: str, area: str, header_row: int = 0) -> SheetQuery:
         spec = QuerySpec(self.sheet(sheet).name, parse_range(area), Header("row", header_row), select_all=True, simple=True)
@@ -192,8 +190,8 @@ class SheetQuery:
 
     def with_stats(self, profiles: DataFrame | list[dict]) -> SheetQuery:
         """Column profiles; a numeric filter outside a column's bounds then gives an empty result without a scan."""
-        rows = [r.asDict() for r in profiles.collect()] if isinstance(profiles, DataFrame) else profiles  # one row a column
-        return self._with(stats=tuple(rows))
+        known = [r.asDict() for r in profiles.collect()] if isinstance(profiles, DataFrame) else profiles  # one row a column
+        return self._with(stats=tuple(known))
 
     def build(self) -> QuerySpec:
         if self._projected and self._aggregates:

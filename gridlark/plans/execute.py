@@ -11,6 +11,7 @@ from ..errors import QueryError, TooManyGroups
 from ..functions.compile import Compiler
 from ..functions.kinds import DATE, NUMBER, Value
 from ..sources.sheet import ROW, Sheet
+from ..streaming.rows import plain
 from .address import Range, letters
 from .ast import Agg, Binary, Col, Expr, Lit, QuerySpec, aggregates, key, substitute, text
 
@@ -91,7 +92,7 @@ class Result:
             if TOO_MANY in str(e):
                 raise TooManyGroups(f"The query has more than {self.spec.max_groups} groups.") from None
             raise
-        return [tuple(_plain(v) for v in r) for r in found]
+        return [tuple(plain(v) for v in r) for r in found]
 
     def source_row_indices(self) -> list[int]:
         return [r[0] for r in self.df.select(ROW).collect()] if self.source_rows else []
@@ -117,12 +118,6 @@ class Result:
         return diagnose(self.bound, self.spec)
 
 
-def _plain(v):
-    if hasattr(v, "asDict") and "kind" in v:
-        return {NUMBER: v["num"], DATE: v["ts"], 4: v["bool"], 1: v["text"], 0: None}.get(v["kind"], v["text"])
-    return v
-
-
 def aggregate(agg: Agg, at: int, compiler: Compiler) -> tuple[list[Column], Value]:
     """Spark aggregates named _a<at>*, and the value that follows from them."""
     a, b = f"_a{at}", f"_b{at}"
