@@ -38,7 +38,11 @@ _METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def metrics(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the base counts and `_lines`, `_upper`; whole texts, inside the JVM."""
+    """df with the base counts, `_lines` and `_upper`; whole texts, inside the JVM.
+
+    `_once` is never negative. Conditions on the counts ask that too: as a column without a fixed value,
+    it keeps the optimizer from moving the condition below the counts, which would compute them twice.
+    """
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     words = F.filter(F.split(whole, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -62,6 +66,7 @@ def metrics(df: DataFrame, text: str = "text") -> DataFrame:
         "n_repeat_words": F.when(F.size(F.array_distinct("_hashes")) == F.size("_hashes"), F.lit(0)).otherwise(repeated).cast("long"),
         "_lines": F.size("_kept_lines").cast("long"),
         "_upper": F.length(F.regexp_replace("_text", r"[^\p{Lu}]+", "")).cast("long"),
+        "_once": F.monotonically_increasing_id(),
     }
     return second.withColumns(out).drop("_text", "_words", "_kept_lines", "_hashes")
 
@@ -95,7 +100,7 @@ case when k >= n * {alpha} then 1D
 def cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", label: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """_stratum and one column per rule: the chosen cutoff, or null where none is certified or gains."""
     judged = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_good"))
-    rows = measured.where(~base_failed()).select(F.col(key).alias("_key"), F.coalesce(F.col(stratum), F.lit("")).alias("_stratum"), *(c.alias(r) for r, c in scores().items()))
+    rows = measured.where(~base_failed() & (F.col("_once") >= 0)).select(F.col(key).alias("_key"), F.coalesce(F.col(stratum), F.lit("")).alias("_stratum"), *(c.alias(r) for r, c in scores().items()))
     good, bad = F.col("_good") == 1, F.col("_good") == 0
     counts = [F.count(F.when(good, 1)).alias("_n")]
     for rule, cuts in RULES.items():
@@ -131,6 +136,7 @@ def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str =
 
 
 def keep(df: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", text: str = "text") -> DataFrame:
-    """The rows of df that are kept, with the columns of df."""
+    """The rows of df that are kept, with the columns of df, whatever their names."""
     chosen = stash(cutoffs(metrics(df.select(key, stratum, text), text).drop(text), labels, key, stratum), "cutoffs")
-    return verdicts(metrics(df, text), chosen, stratum).where("kept").select(*df.columns)
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), stratum, text)
+    return verdicts(metrics(whole, text), chosen, stratum).where("kept and _once >= 0").select("_row.*")

@@ -119,7 +119,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int
     return marked.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """The row with the smallest key of each class, with the columns of df. Repeated rows with that key all stay."""
-    kept = classes(df, key, text).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
-    return df.join(kept, F.col(key) == F.col("_kept"), "left_semi")
+    kept = classes(df, key, text, radius).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept")).distinct()
+    return df.join(kept, F.col(key) == F.col("__kept"), "left_semi")

@@ -222,7 +222,7 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", group: int =
     parts = stash(_words_of(docs.join(wanted, F.col("_doc") == F.col("owner")), df.schema[key].dataType), "parts")
     in_memory = parts.where(F.col("size") <= group).repartition("anchor").sortWithinPartitions("anchor")
     lost = subtrees(in_memory).union(leaves(parts.where(F.col("size") > group), df.schema[key].dataType))
-    owned = contents.join(lost, ["c1", "c2"], "left").select("c1", "c2", F.col("owner").alias("first_owner"), "mask")
+    owned = stash(contents.join(lost, ["c1", "c2"], "left").select("c1", "c2", F.col("owner").alias("first_owner"), "mask"), "owned")  # as above
     whole = F.expr("shiftleft(1L, windows) - 1")
     plain = hits.where("plain and _key > owner").select("_key", "first", whole.alias("mask"))
     rest = hits.where("not plain").join(owned, ["c1", "c2"]).select("_key", "first", F.when(F.col("_key") > F.col("first_owner"), whole).otherwise(F.col("mask")).alias("mask"))
@@ -278,20 +278,20 @@ def strip(df: DataFrame, key: str = "doc_id", text: str = "text", digest: bool =
     With digest: key, n_words, n_removed, kept_sha256. Without: df with text replaced where words went;
     other texts stay as they are.
     """
-    gone = repeats(df, key, text)
+    gone = repeats(df, key, text).toDF("__key", "__spans")
     named, unnamed = df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull())
     columns = [key, text] if digest else df.columns
-    rows = named.select(*columns).join(gone, F.col(key) == F.col("_key"), "left").select(*columns, "_spans")
-    rows = rows.unionByName(unnamed.select(*columns, F.lit(None).cast(rows.schema["_spans"].dataType).alias("_spans")))
+    rows = named.select(*columns).join(gone, F.col(key) == F.col("__key"), "left").select(*columns, "__spans")
+    rows = rows.unionByName(unnamed.select(*columns, F.lit(None).cast(rows.schema["__spans"].dataType).alias("__spans")))
     if digest:
         schema = T.StructType([df.schema[key], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     else:
         schema = df.schema
 
     def step(values: dict) -> dict:
-        kept = [kept_words(t, g) for t, g in zip(values[text], values["_spans"])]
+        kept = [kept_words(t, g) for t, g in zip(values[text], values["__spans"])]
         if not digest:
-            return values | {text: [b" ".join(w).decode() if n > len(w) else t for t, (n, w) in zip(values[text], kept)]}
+            return {c: values[c] for c in columns} | {text: [b" ".join(w).decode() if n > len(w) else t for t, (n, w) in zip(values[text], kept)]}
         return {key: values[key], "n_words": [n for n, _ in kept], "n_removed": [n - len(w) for n, w in kept], "kept_sha256": [hashlib.sha256(b" ".join(w)).hexdigest() for _, w in kept]}
 
     return map_arrow(rows, step, schema, text)

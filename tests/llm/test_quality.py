@@ -48,3 +48,10 @@ def test_cutoffs_are_certified(spark):
     assert all(r.kept for r in got if r.doc_id >= 2000)  # too few labels to certify anything
     kept = quality.keep(rows.drop("quality"), rows.select("doc_id", "quality"))
     assert kept.columns == ["doc_id", "text", "lang"] and kept.count() == 930
+
+
+def test_names_that_clash(spark, docs):
+    more = docs.select("*", F.lit(7).alias("_text"), F.lit(8).alias("kept"), F.lit(9).alias("_stratum"), F.lit(-1.0).alias("word_chars"))
+    kept = quality.keep(more, spark.createDataFrame([(4, 1)], "doc_id long, quality int"))
+    assert kept.columns == more.columns
+    assert {(r._text, r.kept, r._stratum, r.word_chars, r.n_words) for r in kept.collect()} == {(7, 8, 9, -1.0, 2.0)}
