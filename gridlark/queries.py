@@ -92,7 +92,7 @@ def stats_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fluent_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = Workbook.of_tables(spark, sf_dir, "orders").query_range("orders", f"A1:F{END}", 1)
-    result = query.where("o_totalprice", ">", 1000.0).group_by("o_orderstatus").select(A.count(), A.max("o_totalprice")).order_by(A.count(), True).take(2).execute()
+    result = query.where("o_totalprice", ">", 1000.0).group_by("o_orderstatus").select(A.count(), A.max("o_totalprice")).order_by(A.max("o_totalprice"), True).take(2).execute()
     return result.named().withColumnsRenamed({"Count()": "n", "Max(o_totalprice)": "top"})
 
 
@@ -167,7 +167,7 @@ def read_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 FUNCTIONS: dict[str, tuple[Query, str | None]] = {
     "project_dup": (project_dup, "SELECT n_name n_name_1, CAST(n_regionkey AS DOUBLE) n_regionkey_2, n_name n_name_3 FROM nation"),
     "stats_prune": (stats_prune, "SELECT CAST(0 AS BIGINT) AS columns, CAST(0 AS BIGINT) AS rows"),
-    "fluent_group": (fluent_group, "SELECT o_orderstatus, CAST(count(*) AS DOUBLE) n, max(o_totalprice) top FROM orders WHERE o_totalprice > 1000 GROUP BY 1 ORDER BY n DESC LIMIT 2"),
+    "fluent_group": (fluent_group, "SELECT o_orderstatus, CAST(count(*) AS DOUBLE) n, max(o_totalprice) top FROM orders WHERE o_totalprice > 1000 GROUP BY 1 ORDER BY top DESC LIMIT 2"),
     "distinct_values": (distinct_values, "SELECT event_type AS value, count(*) AS count FROM events GROUP BY 1"),
     "distinct_values_filtered": (distinct_values_filtered, "SELECT CAST(p_size AS VARCHAR) AS value, count(*) AS count FROM part WHERE p_retailprice < 1500 GROUP BY 1 ORDER BY count DESC, value LIMIT 10"),
     "profile_columns": (profile_columns, " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) column_index, '{c}' inferred_header, '{k}' dominant_type, count({c}) non_empty_count, {f'count({c})' if k == 'Text' else 'CAST(0 AS BIGINT)'} text_count, {f'count({c})' if k == 'Number' else 'CAST(0 AS BIGINT)'} number_count, count(DISTINCT {c}) distinct_estimate, {f'CAST(min({c}) AS DOUBLE)' if k == 'Number' else 'CAST(NULL AS DOUBLE)'} min_numeric, {f'CAST(max({c}) AS DOUBLE)' if k == 'Number' else 'CAST(NULL AS DOUBLE)'} max_numeric, {f'CAST(max(length({c})) AS INTEGER)' if k == 'Text' else 'CAST(NULL AS INTEGER)'} max_text_length FROM part" for i, (c, k) in enumerate((("p_partkey", "Number"), ("p_name", "Text"), ("p_brand", "Text"), ("p_type", "Text"), ("p_size", "Number"), ("p_retailprice", "Number")), 1))),

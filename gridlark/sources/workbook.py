@@ -74,7 +74,7 @@ def cells(files: DataFrame, names: DataFrame | None = None, mode: str = "values"
 
 def wide(files: DataFrame, sheet: str, width: int, mode: str, keep_blank: bool) -> DataFrame:
     """Rows of one sheet in document order, with cell structs c1..cN. keep_blank: rows of blank cells count as present."""
-    schema = T.StructType([T.StructField(ROW, T.LongType()), T.StructField("cells", T.ArrayType(CELL))])
+    schema = T.StructType([T.StructField(ROW, T.LongType()), *(T.StructField(physical(i), CELL) for i in range(1, width + 1))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +86,7 @@ def wide(files: DataFrame, sheet: str, width: int, mode: str, keep_blank: bool)
                 for c in (*open_package(content).cells(sheet, mode == "formulas"), None):
                     if now is not None and (c is None or c.row != now):
                         if held and (keep_blank or some):
-                            rows.append({ROW: now, "cells": [held.get(i) for i in range(1, max(held) + 1)]})
+                            rows.append({ROW: now} | {physical(i): x for i, x in held.items()})
                         held, some = {}, False
                         if rows and (c is None or len(rows) >= 5_000):
                             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -95,8 +95,7 @@ def wide(files: DataFrame, sheet: str, width: int, mode: str, keep_blank: bool)
                         now, held[c.column] = c.row, dict(zip(names, fields(c)))
                         some = some or c.kind != EMPTY
 
-    found = files.mapInArrow(run, schema)
-    return found.select(ROW, *(F.get("cells", F.lit(i - 1)).alias(physical(i)) for i in range(1, width + 1)))
+    return files.mapInArrow(run, schema)
 
 
 def open_workbook(kind, spark: SparkSession, source: str | bytes, mode: str):
