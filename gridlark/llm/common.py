@@ -52,8 +52,16 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan: file sizes for a scan. Driver-side metadata only."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """An estimate of df's stored bytes from metadata alone.
+
+    Catalyst knows the files' sizes of a scan but takes the worst of joins, so the plan's leaves bound
+    it. Rows that came from code have no known size: then partitions count as full ones of a scan.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    if known < 1 << 60:
+        return known
+    return max(1, df.rdd.getNumPartitions()) * int(df._jdf.sparkSession().sessionState().conf().filesMaxPartitionBytes())
 
 
 def buckets(df: DataFrame, bytes_per_bucket: int = 8 << 20) -> int:
