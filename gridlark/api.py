@@ -147,7 +147,7 @@ class SheetQuery:
         op = {"==": "=", "<>": "!="}.get(op, op)
         if isinstance(value, bool):
             if op not in ("=", "!="):
-                raise ValueError("Boolean filters support = and != only.")
+                raise ValueError("Boolean values are only equal or not.")
             found = Lit("boolean", value)
         elif isinstance(value, str):
             found = Lit("text", value)
@@ -160,23 +160,23 @@ class SheetQuery:
 
     def group_by(self, column: str) -> SheetQuery:
         if self.spec.group_by:
-            raise QueryError("GroupBy supports a single column and was already called.")
+            raise QueryError("The query is grouped already.")
         return self._with(group_by=(Col(column),))
 
     def order_by(self, by: str | Agg, descending: bool = False) -> SheetQuery:
         if self.spec.order_by is not None:
-            raise QueryError("OrderBy was already called. A query supports a single ordering key.")
+            raise QueryError("The query is ordered already.")
         return self._with(order_by=Col(by) if isinstance(by, str) else by, descending=descending)
 
     def select(self, *aggregates: Agg) -> SheetQuery:
         if not aggregates:
-            raise ValueError("At least one aggregate is required.")
+            raise ValueError("Some aggregate is needed.")
         self._aggregates += aggregates
         return self
 
     def project(self, *columns: str) -> SheetQuery:
         if not columns:
-            raise ValueError("At least one column is required.")
+            raise ValueError("Some column is needed.")
         self._projected += columns
         return self
 
@@ -195,13 +195,13 @@ class SheetQuery:
 
     def build(self) -> QuerySpec:
         if self._projected and self._aggregates:
-            raise QueryError("Project and Select can't be combined.")
+            raise QueryError("A query has columns or aggregates, not both.")
         if self.spec.group_by and not self._aggregates:
-            raise QueryError("GroupBy requires at least one aggregate.")
+            raise QueryError("Groups need some aggregate.")
         order, groups = self.spec.order_by, self.spec.group_by
         if order is not None:
             if not groups and self._aggregates:
-                raise QueryError("ORDER BY is not valid on a global aggregate.")
+                raise QueryError("A global aggregate is one row and takes no order.")
             if not groups and (self.spec.limit is None or isinstance(order, Agg)):
                 raise QueryError("OrderBy on row results takes a column and requires Take.")
             if groups and key(order) not in [*map(key, groups), *map(key, self._aggregates)]:
@@ -215,5 +215,5 @@ class SheetQuery:
 
     def distinct_values(self, column: str, top: int = 100) -> DataFrame:
         if self.spec.order_by is not None:
-            raise QueryError("OrderBy is not valid with DistinctValues.")
+            raise QueryError("Distinct values have their own order.")
         return plan.distinct_values(self.workbook.sheet(self.spec.sheet), self.spec, self.spec.header.row, column, top)

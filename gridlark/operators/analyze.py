@@ -56,7 +56,7 @@ def analyze(files: DataFrame, level: str = "full") -> Analysis:
     actual = observed.where("cell_count > 0").select("workbook", "sheet", F.when(start == end, start).otherwise(F.concat_ws(":", start, end)).alias("used"))
     declared = out.items.where("kind = 'dimension' and ref is not null").select("workbook", "sheet", "ref")
     differ = declared.join(actual, ["workbook", "sheet"]).where("upper(ref) <> used")
-    message = F.concat(F.lit("Declared dimension "), "ref", F.lit(" differs from observed value-used range "), "used", F.lit("."))
+    message = F.concat(F.lit("The sheet declares "), "ref", F.lit(", but its cells fill "), "used", F.lit("."))
     out.warnings = differ.select("workbook", "sheet", F.lit("declared-dimension-mismatch").alias("code"), message.alias("message"))
     return out
 

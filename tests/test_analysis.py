@@ -68,7 +68,7 @@ def test_metadata(spark):
         ("chart", "Sales", "xl/charts/chart1.xml", ("S!A1:A3",), None), ("name", "All", "S!A1:B3", (), None), ("name", "Own", "S!A1", (), None),
     }
     whole = analyze(files(spark, content))
-    assert [r.message for r in whole.warnings.collect()] == ["Declared dimension A1:Z9 differs from observed value-used range A1:B2."]
+    assert [r.message for r in whole.warnings.collect()] == ["The sheet declares A1:Z9, but its cells fill A1:B2."]
     seen = whole.observed.first()
     assert (seen.cell_count, seen.row_count, seen.column_count, seen.formula_count) == (4, 2, 2, 0)
     assert whole.headers.first().header_row == 1
