@@ -26,7 +26,7 @@ from .common import map_arrow
 #: Elements by their role.
 SKIPPED = {"script", "style", "noscript", "template", "svg", "math", "head", "title", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button", "option"}
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "xmp"}
-BOILERPLATE = {"nav", "footer", "aside", "form", "header", "menu", "dialog", "address"}
+BOILERPLATE = {"nav", "footer", "aside", "form", "header", "menu", "dialog"}
 CONTENT = {"article", "main"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "script", "small", "span", "strike", "strong", "style", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -139,8 +139,9 @@ def blocks(html: str) -> list[Block]:
             if tag in INLINE and any(x[0] not in INLINE for x in stack[where + 1 :]):
                 link = link and tag != "a"  # a misnested inline end doesn't close blocks
                 continue
+            was = bad
             pop(where)
-            if tag not in INLINE:
+            if tag not in INLINE or bad != was:
                 close()
             continue
         attrs = html[found.end() : at - 1]
@@ -164,7 +165,10 @@ def blocks(html: str) -> list[Block]:
             continue
         stack.append((tag, bad, skipped, container, link))
         mark = _marked(attrs) if attrs.strip() and tag not in ("html", "body") else OPEN
-        bad = bad or tag in BOILERPLATE or mark == BAD and tag not in CONTENT
+        apart = mark == BAD and not bad and tag in INLINE
+        if apart:  # an inline notice or advert is a block of its own
+            close()
+        bad = bad or tag in BOILERPLATE or mark == BAD and (tag not in CONTENT or containers > 0)
         if not bad and not container and (tag in CONTENT or mark == GOOD and tag in ("div", "section", "td")):
             containers += 1
             container = containers
@@ -173,7 +177,7 @@ def blocks(html: str) -> list[Block]:
         if tag == "body":
             skipped = False
         link = link or tag == "a"
-        if tag not in INLINE:
+        if tag not in INLINE or apart:
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
             now = Block(container, bad, heading)
     close()

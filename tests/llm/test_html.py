@@ -17,6 +17,8 @@ PROSE = "This is the story of a man that was on the road to the town, and it is
         ("<article>x<script>var t='<p>';</script><style>p{}</style><!-- y -->z</article>", "xz"),
         (f"<main><p>Text.</p><aside>{PROSE}</aside><form>{PROSE}</form><div class='cookie-notice'>{PROSE}</div><table><tr><td>1<td>2</table></main>", "Text. 1 2"),
         ("<article><p>One.</p><p><a href=x>Read the other story of the day</a></p><p>Two &lt;3 &#x41;&#66;</p></article>", "One. Two <3 AB"),
+        (f"<article class='has-comments'><p>Main.</p></article><article class='comment'><p>{PROSE}</p></article>", "Main."),
+        (f"<article><p>Before <span class='ad-slot'>{PROSE}</span>after <i>it</i>.</p><div hidden>{PROSE}</div><ul class=share><li>x</ul></article>", "Before after it."),
         (f"<header>{PROSE}</header><article><p>Body.</p><section class='comments'><p>{PROSE}</p></section></article><div class=ad>{PROSE}</div>", "Body."),
     ],
 )
