@@ -107,7 +107,7 @@ def distinct_values_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = Workbook.of_tables(spark, sf_dir, "part")
-    return profile(book.sheet("part")).select("column_index", "inferred_header", "dominant_type", "non_empty_count", "text_count", "number_count", "distinct_estimate", "min_numeric", "max_numeric", "max_text_length")
+    return profile(book.sheet("part")).select("column_index", "inferred_header", "dominant_type", "non_empty_count", "text_count", "number_count", "distinct_estimate", "min_numeric", "max_numeric", F.coalesce("max_text_length", F.lit(0)).alias("max_text_length"))
 
 
 def profile_distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +170,7 @@ FUNCTIONS: dict[str, tuple[Query, str | None]] = {
     "fluent_group": (fluent_group, "SELECT o_orderstatus, CAST(count(*) AS DOUBLE) n, max(o_totalprice) top FROM orders WHERE o_totalprice > 1000 GROUP BY 1 ORDER BY top DESC LIMIT 2"),
     "distinct_values": (distinct_values, "SELECT event_type AS value, count(*) AS count FROM events GROUP BY 1"),
     "distinct_values_filtered": (distinct_values_filtered, "SELECT CAST(p_size AS VARCHAR) AS value, count(*) AS count FROM part WHERE p_retailprice < 1500 GROUP BY 1 ORDER BY count DESC, value LIMIT 10"),
-    "profile_columns": (profile_columns, " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) column_index, '{c}' inferred_header, '{k}' dominant_type, count({c}) non_empty_count, {f'count({c})' if k == 'Text' else 'CAST(0 AS BIGINT)'} text_count, {f'count({c})' if k == 'Number' else 'CAST(0 AS BIGINT)'} number_count, count(DISTINCT {c}) distinct_estimate, {f'CAST(min({c}) AS DOUBLE)' if k == 'Number' else 'CAST(NULL AS DOUBLE)'} min_numeric, {f'CAST(max({c}) AS DOUBLE)' if k == 'Number' else 'CAST(NULL AS DOUBLE)'} max_numeric, {f'CAST(max(length({c})) AS INTEGER)' if k == 'Text' else 'CAST(NULL AS INTEGER)'} max_text_length FROM part" for i, (c, k) in enumerate((("p_partkey", "Number"), ("p_name", "Text"), ("p_brand", "Text"), ("p_type", "Text"), ("p_size", "Number"), ("p_retailprice", "Number")), 1))),
+    "profile_columns": (profile_columns, " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) column_index, '{c}' inferred_header, '{k}' dominant_type, count({c}) non_empty_count, {f'count({c})' if k == 'Text' else 'CAST(0 AS BIGINT)'} text_count, {f'count({c})' if k == 'Number' else 'CAST(0 AS BIGINT)'} number_count, count(DISTINCT {c}) distinct_estimate, {f'CAST(min({c}) AS DOUBLE)' if k == 'Number' else 'CAST(NULL AS DOUBLE)'} min_numeric, {f'CAST(max({c}) AS DOUBLE)' if k == 'Number' else 'CAST(NULL AS DOUBLE)'} max_numeric, {f'CAST(max(length({c})) AS INTEGER)' if k == 'Text' else 'CAST(0 AS INTEGER)'} max_text_length FROM part" for i, (c, k) in enumerate((("p_partkey", "Number"), ("p_name", "Text"), ("p_brand", "Text"), ("p_type", "Text"), ("p_size", "Number"), ("p_retailprice", "Number")), 1))),
     "profile_distinct_values": (profile_distinct_values, "SELECT 'c_mktsegment' inferred_header, string_agg(v, '|' ORDER BY v) listed FROM (SELECT DISTINCT c_mktsegment v FROM customer) UNION ALL SELECT 'c_nationkey', string_agg(CAST(v AS VARCHAR), '|' ORDER BY v) FROM (SELECT DISTINCT c_nationkey v FROM customer)"),
     "used_range": (used, "SELECT CAST(1 AS BIGINT) first_row, CAST(count(*) + 1 AS BIGINT) last_row, CAST(1 AS INTEGER) first_column, CAST(3 AS INTEGER) last_column, CAST(count(n_nationkey) + count(n_name) + count(n_regionkey) + 3 AS BIGINT) cell_count, CAST(count(*) + 1 AS BIGINT) row_count, CAST(3 AS INTEGER) column_count FROM nation"),
     "mixed_order": (mixed_order, "SELECT CAST(event_id AS DOUBLE) event_id, CAST(2 AS INTEGER) kind FROM events WHERE event_id % 10 > 2 ORDER BY value DESC, event_id LIMIT 300"),

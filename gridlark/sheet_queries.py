@@ -135,5 +135,7 @@ ORACLES = {
     "xlsx_cells": f"SELECT 'nation' sheet, CAST(3 + count(*) * 3 AS BIGINT) n, CAST(count(*) + 1 AS BIGINT) AS rows, CAST(3 AS INTEGER) columns, count(*) * 2 numbers FROM nation UNION ALL SELECT 'supplier', 4 + count(*) * 4, count(*) + 1, 4, count(*) * 3 FROM (SELECT * FROM supplier LIMIT 100) UNION ALL SELECT 'orders', 6 + count(*) * 6, count(*) + 1, 6, count(*) * 3 FROM {_FIRST}",
     "xlsx_header_auto": "SELECT 'a' AS \"Product\", 2.5::DOUBLE AS value UNION ALL SELECT 'b', 12.0",
     "sheet_formulas": "SELECT 'Model' sheet, 'Inputs' target_sheet, CAST(1 AS BIGINT) formula_count",
+    "sheet_regions": "SELECT sheet, kind, CAST(a AS BIGINT) first_row, CAST(b AS BIGINT) last_row, CAST(c AS INTEGER) first_column, CAST(d AS INTEGER) last_column FROM (VALUES ('Model', 'TitleRow', 1, 1, 1, 1), ('Model', 'Crosstab', 2, 5, 1, 4), ('Model', 'DataTable', 8, 10, 1, 3), ('Inputs', 'ParameterBlock', 1, 3, 1, 2)) t(sheet, kind, a, b, c, d)",
+    "sheet_analysis": "SELECT sheet, CAST(n AS BIGINT) cell_count, CAST(r AS BIGINT) row_count, CAST(c AS INTEGER) column_count, CAST(f AS BIGINT) formula_count, CAST(h AS BIGINT) header_row FROM (VALUES ('Model', 25, 10, 4, 3, 2), ('Inputs', 6, 3, 2, 0, 0)) t(sheet, n, r, c, f, h)",
     "sheet_layout": "SELECT sheet, CAST(a AS BIGINT) first_row, CAST(b AS BIGINT) last_row, CAST(c AS INTEGER) first_column, CAST(d AS INTEGER) last_column, CAST(r AS INTEGER) AS rank FROM (VALUES ('Model', 3, 4, 2, 4, 2), ('Model', 9, 10, 2, 3, 2), ('Inputs', 1, 3, 2, 2, 1)) t(sheet, a, b, c, d, r)",
 }
