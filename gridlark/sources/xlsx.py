@@ -8,7 +8,8 @@ import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cache, cached_property
+from html import unescape as html_unescape
 from xml.etree import ElementTree
 
 from ..errors import InvalidAddress, MalformedWorkbook, SheetNotFound
@@ -17,6 +18,22 @@ from ..plans.address import MAX_COLUMNS, MAX_ROWS, column_number, parse_cell
 from .formats import is_date_id, to_date
 
 _ESCAPE = re.compile(r"_x([0-9A-Fa-f]{4})_")
+_PARTS = re.compile(rb"<(?:row\b([^>]*)>|c(\s[^>]*?|)(?:/>|>(.*?)</c>))", re.S)
+_PAIRS = re.compile(rb"([\w:]+)\s*=\s*(['\"])(.*?)\2", re.S)
+_USUAL = re.compile(rb' r="([A-Z]{1,3})[0-9]+"(?: s="([0-9]+)")?(?: t="(\w+)")?')
+_ROW_NUMBER = re.compile(rb"(?:^|\s)r\s*=\s*['\"](\d+)['\"]")
+_FORMULA = re.compile(rb"<f(\s[^>]*?|)(?:/>|>(.*?)</f>)", re.S)
+_VALUE = re.compile(rb"<v\s[^>]*>(.*?)</v>", re.S)
+_TEXTS = re.compile(rb"<t(?:\s[^>]*)?>(.*?)</t>", re.S)
+
+
+@cache
+def _columns(name: bytes) -> int:
+    """The number of column letters; 0 if they are none."""
+    try:
+        return column_number(name.decode())
+    except InvalidAddress:
+        return 0
 
 
 def local(tag: str) -> str:
@@ -40,7 +57,7 @@ def rich_text(node) -> str:
     return unescape("".join(t.text or "" for t in node.iter() if local(t.tag) == "t"))
 
 
-@dataclass
+@dataclass(slots=True)
 class Cell:
     row: int
     column: int
@@ -176,6 +193,70 @@ class Xlsx(Package):
         content = self.read(self.part(sheet))
         if content is None:
             raise MalformedWorkbook(f"Sheet '{sheet}' has no part.")
+        start, end = content.find(b"<sheetData>"), content.rfind(b"</sheetData>")
+        plain = 0 <= start < end and not any(x in content for x in (b"<![CDATA[", b"<!--", b"<!DOCTYPE")) and content[:200].find(b"UTF-16") < 0
+        yield from self._scan(sheet, content[start + 11 : end], formulas) if plain else self._walk(sheet, content, formulas)
+
+    def _scan(self, sheet: str, body: bytes, formulas: bool) -> Iterator[Cell]:
+        """Of plain markup, by one pattern for rows and cells; about five times as fast as a tree."""
+        row = column = seen = 0
+        shared: dict[str, str] = {}
+        for found in _PARTS.finditer(body):
+            line, attributes, inner = found.groups()
+            if line is not None:
+                number = _ROW_NUMBER.search(line)
+                row, column = int(number[1]) if number else row + 1, 0
+                continue
+            seen += 1
+            column += 1
+            if usual := _USUAL.fullmatch(attributes):
+                name, style, kind = usual.groups()
+                column = _columns(name)
+            else:
+                known = {k: v for k, _, v in _PAIRS.findall(attributes)}
+                style, kind = known.get(b"s"), known.get(b"t")
+                if reference := known.get(b"r"):
+                    column = _columns(reference.rstrip(b"0123456789")) or column
+            if not (1 <= row <= MAX_ROWS and column <= MAX_COLUMNS):
+                continue
+            out = Cell(row, column)
+            if inner:
+                self._fill(out, inner, kind, style, formulas, shared)
+            yield out
+        if seen != body.count(b"<c ") + body.count(b"<c>") + body.count(b"<c/"):
+            raise MalformedWorkbook(f"Sheet '{sheet}' has cells that don't end.")
+
+    def _fill(self, out: Cell, inner: bytes, kind: bytes | None, style: bytes | None, formulas: bool, shared: dict[str, str]) -> None:
+        formula = value = None
+        kind = kind.decode() if kind else "n"
+        if b"<f" in inner and (f := _FORMULA.search(inner)):
+            out.has_formula = True
+            formula = unescape(html_unescape(f[2].decode())) if f[2] else ""
+            own = {k: v for k, _, v in _PAIRS.findall(f[1])}
+            out.array, out.formula = own.get(b"t") == b"array", formula
+            if own.get(b"t") == b"shared" and b"si" in own:
+                index = own[b"si"].decode()
+                if formula:
+                    shared[index] = formula
+                out.formula = formula or shared.get(index)
+        if formulas and formula:
+            out.kind, out.value = FORMULA, formula
+        elif kind == "inlineStr":
+            if b"<is" in inner:
+                out.kind, out.value = TEXT, unescape(html_unescape("".join(t.decode() for t in _TEXTS.findall(inner))))
+        else:
+            at = inner.find(b"<v>")
+            if at >= 0:
+                value = inner[at + 3 : inner.find(b"</v>", at)].decode()
+            elif b"<v " in inner and (v := _VALUE.search(inner)):
+                value = v[1].decode()
+            elif b"<v/>" in inner:
+                value = ""
+            if value is not None:
+                out.kind, out.value = self._decode(kind, html_unescape(value) if "&" in value else value, int(style) if style and style.isdigit() else 0)
+
+    def _walk(self, sheet: str, content: bytes, formulas: bool) -> Iterator[Cell]:
+        """The same of any markup, by its tree."""
         row = column = 0
         shared: dict[str, str] = {}
         try:
