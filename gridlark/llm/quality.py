@@ -108,8 +108,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum
             counts += [F.count(F.when(kind & (F.col(rule) > cut), 1)).alias(f"{name}_{rule}_{i}") for name, kind in (("g", good), ("b", bad))]
     counted = rows.join(judged, "_key").groupBy("_stratum").agg(*counts)
     tests = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cut"), F.col(f"g_{r}_{i}").alias("k"), F.col(f"b_{r}_{i}").alias("bad")) for r, cuts in RULES.items() for i, c in enumerate(cuts)))
-    strata = counted.agg(F.count(F.lit(1)).alias("_strata"))
-    tested = counted.crossJoin(F.broadcast(strata)).select("_stratum", "_strata", F.col("_n").alias("n"), F.inline(tests))  # one row
+    strata = counted.withColumn("_strata", F.count(F.lit(1)).over(Window.partitionBy()))  # over the strata, a few rows
+    tested = strata.select("_stratum", "_strata", F.col("_n").alias("n"), F.inline(tests))
     tested = tested.withColumn("fails", (F.expr(TAIL.format(alpha=f"{alpha!r}D")) > delta / (F.col("_strata") * len(RULES))).cast("int"))
     sequence = Window.partitionBy("_stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     certified = tested.withColumn("fails", F.max("fails").over(sequence)).where("fails = 0")
