@@ -217,7 +217,7 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", group: int =
     # Equal contents: the smallest key owns them.
     contents = hits.where("not plain").groupBy("c1", "c2").agg(F.min(F.struct("_key", "first")).alias("own"), F.min("anchor").alias("anchor"), F.min("left").alias("left"), F.min("windows").alias("windows"))
     contents = stash(contents.select("c1", "c2", F.col("own._key").alias("owner"), F.col("own.first").alias("first"), "anchor", "left", "windows"), "contents")
-    sizes = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = stash(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")  # as above
     wanted = contents.join(sizes, "anchor").groupBy("owner").agg(F.collect_list(F.struct("first", "anchor", "left", "windows", "c1", "c2", "size")).alias("wanted"))
     parts = stash(_words_of(docs.join(wanted, F.col("_doc") == F.col("owner")), df.schema[key].dataType), "parts")
     in_memory = parts.where(F.col("size") <= group).repartition("anchor").sortWithinPartitions("anchor")
