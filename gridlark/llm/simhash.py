@@ -115,7 +115,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int
     distinct = stash(marked.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
     rooted = distinct.join(components(links(distinct.select("fp"), radius)), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = stash(rooted, "rooted")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join shuffles both sides anew and can split a large class.
+    smallest = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     return marked.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
