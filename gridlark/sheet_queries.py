@@ -39,8 +39,8 @@ def cell(reference: str, value) -> str:
     return f'<c r="{reference}"><v>{value!r}</v></c>'
 
 
-def package(sheets: dict[str, list[list]]) -> bytes:
-    """A workbook of rows from A1 on; text that begins with = is a formula."""
+def package(sheets: dict[str, list[list]], after: str = "") -> bytes:
+    """A workbook of rows from A1 on; text that begins with = is a formula. after: markup behind each sheet's cells."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("_rels/.rels", f'<Relationships><Relationship Id="r1" Type="{REL}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
@@ -51,7 +51,7 @@ def package(sheets: dict[str, list[list]]) -> bytes:
         z.writestr("xl/styles.xml", f'<styleSheet {MAIN}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
         for i, rows in enumerate(sheets.values(), 1):
             body = "".join(f'<row r="{r}">{"".join(cell(f"{letters(c)}{r}", v) for c, v in enumerate(row, 1))}</row>' for r, row in enumerate(rows, 1))
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {MAIN}><sheetData>{body}</sheetData></worksheet>")
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f"<worksheet {MAIN}><sheetData>{body}</sheetData>{after}</worksheet>")
     return out.getvalue()
 
 
@@ -123,7 +123,8 @@ def sheet_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workbook_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metadata(files(spark, package(STATEMENT))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    merged = '<mergeCells><mergeCell ref="A1:B1"/></mergeCells><hyperlinks><hyperlink ref="A2"/><hyperlink ref="A3"/></hyperlinks>'
+    return metadata(files(spark, package(STATEMENT, merged))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (xlsx_project, xlsx_group, xlsx_profile, xlsx_cells, xlsx_header_auto, sheet_regions, sheet_layout, sheet_formulas, sheet_analysis, workbook_metadata)}
@@ -135,6 +136,7 @@ ORACLES = {
     "xlsx_cells": f"SELECT 'nation' sheet, CAST(3 + count(*) * 3 AS BIGINT) n, CAST(count(*) + 1 AS BIGINT) AS rows, CAST(3 AS INTEGER) columns, count(*) * 2 numbers FROM nation UNION ALL SELECT 'supplier', 4 + count(*) * 4, count(*) + 1, 4, count(*) * 3 FROM (SELECT * FROM supplier LIMIT 100) UNION ALL SELECT 'orders', 6 + count(*) * 6, count(*) + 1, 6, count(*) * 3 FROM {_FIRST}",
     "xlsx_header_auto": "SELECT 'a' AS \"Product\", 2.5::DOUBLE AS value UNION ALL SELECT 'b', 12.0",
     "sheet_formulas": "SELECT 'Model' sheet, 'Inputs' target_sheet, CAST(1 AS BIGINT) formula_count",
+    "workbook_metadata": "SELECT 'merge' AS kind, CAST(2 AS BIGINT) AS n UNION ALL SELECT 'hyperlink', 4",
     "sheet_regions": "SELECT sheet, kind, CAST(a AS BIGINT) first_row, CAST(b AS BIGINT) last_row, CAST(c AS INTEGER) first_column, CAST(d AS INTEGER) last_column FROM (VALUES ('Model', 'TitleRow', 1, 1, 1, 1), ('Model', 'Crosstab', 2, 5, 1, 4), ('Model', 'DataTable', 8, 10, 1, 3), ('Inputs', 'ParameterBlock', 1, 3, 1, 2)) t(sheet, kind, a, b, c, d)",
     "sheet_analysis": "SELECT sheet, CAST(n AS BIGINT) cell_count, CAST(r AS BIGINT) row_count, CAST(c AS INTEGER) column_count, CAST(f AS BIGINT) formula_count, CAST(h AS BIGINT) header_row FROM (VALUES ('Model', 25, 10, 4, 3, 2), ('Inputs', 6, 3, 2, 0, 0)) t(sheet, n, r, c, f, h)",
     "sheet_layout": "SELECT sheet, CAST(a AS BIGINT) first_row, CAST(b AS BIGINT) last_row, CAST(c AS INTEGER) first_column, CAST(d AS INTEGER) last_column, CAST(r AS INTEGER) AS rank FROM (VALUES ('Model', 3, 4, 2, 4, 2), ('Model', 9, 10, 2, 3, 2), ('Inputs', 1, 3, 2, 2, 1)) t(sheet, a, b, c, d, r)",
