@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from gridlark.llm import near
+from gridlark.llm import near, simhash
 
 from .test_duplicates import union
 
@@ -52,3 +52,18 @@ def test_all_near_copies_link(spark, monkeypatch, pairs):
     got = keys_kept(spark, [(i, t, "x") for i, t in enumerate(texts)])
     assert sorted(k for k, _ in got) == sorted(set(classes(texts)))
     assert keys_kept(spark, []) == []
+
+
+def test_less_similar_texts_stay(spark):
+    """Pairs whose op9 prints lie within 4 bits, but whose similarity is below 0.8."""
+    draw = random.Random(5)
+    texts = []
+    while len(texts) < 8:
+        a = [f"w{draw.randrange(5000)}" for _ in range(800)]
+        b = list(a)
+        for i in draw.sample(range(800), 26):
+            b[i] = "changed"
+        a, b = " ".join(a), " ".join(b)
+        if not similar(grams(a), grams(b)) and (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 4:
+            texts += [a, b]
+    assert sorted(k for k, _ in keys_kept(spark, [(i, t, "x") for i, t in enumerate(texts)])) == list(range(8))
