@@ -67,3 +67,9 @@ def test_less_similar_texts_stay(spark):
         if not similar(grams(a), grams(b)) and (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 4:
             texts += [a, b]
     assert sorted(k for k, _ in keys_kept(spark, [(i, t, "x") for i, t in enumerate(texts)])) == list(range(8))
+
+
+def test_rows_without_key(spark):
+    alone, null_class, mixed = ("a row without a key and no copy", "two rows without a key are copies", "a null and a key are copies here")
+    got = keys_kept(spark, [(None, alone, "x"), (None, null_class, "x"), (None, null_class, "x"), (None, mixed, "x"), (7, mixed, "x")])
+    assert sorted(got, key=str) == sorted([(None, alone), (None, null_class), (7, mixed)], key=str)
