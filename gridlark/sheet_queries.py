@@ -22,6 +22,9 @@ from .plans.address import letters
 from .sources.workbook import cells, files
 
 MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+#: A sheet's last row, and the tables whose key isn't called like them.
+END = 1_048_576
+KEYS = {"supplier": "supp", "orders": "order"}
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
 
@@ -56,7 +59,7 @@ def package(sheets: dict[str, list[list]], after: str = "") -> bytes:
 
 
 def table_book(spark: SparkSession, sf_dir: str) -> bytes:
-    """nation, suppliers and the first orders as sheets; the tables' sizes don't grow with this file."""
+    """nation and the first suppliers and orders as sheets: a sample book, which says nothing of the whole tables (whole_book)."""
     sheets = {}
     for name, order, most in (("nation", "n_nationkey", 25), ("supplier", "s_suppkey", 100), ("orders", "o_orderkey", 200)):
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,6 +68,19 @@ def table_book(spark: SparkSession, sf_dir: str) -> bytes:
     return package(sheets)
 
 
+def whole_book(spark: SparkSession, sf_dir: str, *names: str) -> tuple[bytes, dict[str, int]]:
+    """Whole tables as sheets in order of their keys, and the sheets' last rows. A table that one sheet can't hold is an error."""
+    sheets, last = {}, {}
+    for name in names:
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        last[name] = df.count() + 1
+        if last[name] > END:
+            raise ValueError(f"{name} has {last[name] - 1} rows; a sheet holds {END - 1} below its header")
+        rows = df.orderBy(f"{name[0]}_{KEYS.get(name, name)}key").toLocalIterator()
+        sheets[name] = [df.columns, *([float(v) if isinstance(v, int) else v for v in r] for r in rows)]
+    return package(sheets), last
+
+
 STATEMENT = {
     "Model": [
         ["Income statement"], [None, 2023.0, 2024.0, 2025.0], ["Revenue", 100.0, 110.0, 120.0], ["Costs", 40.0, 45.0, 50.0], ["EBITDA", "=B3-B4", "=C3-C4", "=D3-Inputs!B2"], [], [],
@@ -99,6 +115,21 @@ def xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("sheet").agg(F.count(F.lit(1)).alias("n"), F.max("row").alias("rows"), F.max("column").alias("columns"), F.count("num").alias("numbers"))
 
 
+def xlsx_group_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book, last = whole_book(spark, sf_dir, "orders")
+    return native(Workbook.open(spark, book).execute_query(f"SELECT o_orderstatus, COUNT() AS n, ROUND(SUM(o_totalprice), 2) AS total, MAX(o_orderdate) AS last FROM orders!A1:F{last['orders']} HEADER ROW 1 GROUP BY o_orderstatus", ordered=False), ["text", "", "", "date"])
+
+
+def xlsx_profile_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book, _ = whole_book(spark, sf_dir, "supplier")
+    return profile(Workbook.open(spark, book).sheet("supplier")).select("column_index", "inferred_header", "dominant_type", "non_empty_count", "number_count", "text_count", "max_numeric")
+
+
+def xlsx_cells_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book, _ = whole_book(spark, sf_dir, "nation", "supplier", "orders")
+    return cells(files(spark, book)).groupBy("sheet").agg(F.count(F.lit(1)).alias("n"), F.max("row").alias("rows"), F.max("column").alias("columns"), F.count("num").alias("numbers"))
+
+
 def xlsx_header_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = Workbook.open(spark, package(STATEMENT)).execute_query("FROM Model!A8:C10 HEADER AUTO SELECT Product, Units * Price AS value")
     return native(result, ["text", ""])
@@ -127,7 +158,7 @@ def workbook_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata(files(spark, package(STATEMENT, merged))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (xlsx_project, xlsx_group, xlsx_profile, xlsx_cells, xlsx_header_auto, sheet_regions, sheet_layout, sheet_formulas, sheet_analysis, workbook_metadata)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (xlsx_project, xlsx_group, xlsx_profile, xlsx_cells, xlsx_group_whole, xlsx_profile_whole, xlsx_cells_whole, xlsx_header_auto, sheet_regions, sheet_layout, sheet_formulas, sheet_analysis, workbook_metadata)}
 _FIRST = "(SELECT * FROM orders ORDER BY o_orderkey LIMIT 200)"
 ORACLES = {
     "xlsx_project": "SELECT n_name, CAST(n_regionkey AS DOUBLE) n_regionkey FROM nation WHERE n_regionkey >= 2",
@@ -141,3 +172,8 @@ ORACLES = {
     "sheet_analysis": "SELECT sheet, CAST(n AS BIGINT) cell_count, CAST(r AS BIGINT) row_count, CAST(c AS INTEGER) column_count, CAST(f AS BIGINT) formula_count, CAST(h AS BIGINT) header_row FROM (VALUES ('Model', 25, 10, 4, 3, 2), ('Inputs', 6, 3, 2, 0, 0)) t(sheet, n, r, c, f, h)",
     "sheet_layout": "SELECT sheet, CAST(a AS BIGINT) first_row, CAST(b AS BIGINT) last_row, CAST(c AS INTEGER) first_column, CAST(d AS INTEGER) last_column, CAST(r AS INTEGER) AS rank FROM (VALUES ('Model', 3, 4, 2, 4, 2), ('Model', 9, 10, 2, 3, 2), ('Inputs', 1, 3, 2, 2, 1)) t(sheet, a, b, c, d, r)",
 }
+ORACLES |= {
+    "xlsx_group_whole": ORACLES["xlsx_group"].replace(_FIRST, "orders"),
+    "xlsx_profile_whole": ORACLES["xlsx_profile"].replace(" ORDER BY s_suppkey LIMIT 100", ""),
+    "xlsx_cells_whole": ORACLES["xlsx_cells"].replace(_FIRST, "orders").replace("(SELECT * FROM supplier LIMIT 100)", "supplier"),
+}
