@@ -73,3 +73,10 @@ def test_rows_without_key(spark):
     alone, null_class, mixed = ("a row without a key and no copy", "two rows without a key are copies", "a null and a key are copies here")
     got = keys_kept(spark, [(None, alone, "x"), (None, null_class, "x"), (None, null_class, "x"), (None, mixed, "x"), (7, mixed, "x")])
     assert sorted(got, key=str) == sorted([(None, alone), (None, null_class), (7, mixed)], key=str)
+
+
+def test_repeated_keys(spark):
+    """One row a class, though its key is repeated: exact rows, and a second text that copies another document."""
+    first, other = "the first text of a repeated key", "another text that two documents have"
+    got = keys_kept(spark, [(1, first, "x"), (1, first, "x"), (1, other, "x"), (2, other, "x")])
+    assert sorted(got) == [(1, other), (1, first)]
