@@ -99,14 +99,18 @@ def links(distinct: DataFrame, radius: int = RADIUS, array: int = ARRAY) -> Data
 
 
 def neighbour_links(distinct: DataFrame, radius: int) -> DataFrame:
-    """The same edges by values within half the radius of a fingerprint, without buckets: 65 rows each for radius 2."""
-    near = [0]
+    """The same edges by values near a fingerprint, without buckets: 65 rows each for radius 2.
+
+    Two fingerprints are within the radius just if some value is within half of it, rounded down, of one and
+    within the rest of the other; so all of the latter link to the smallest of the former.
+    """
+    near = [[0]]
     for _ in range((radius + 1) // 2):
-        near = sorted({x ^ (1 << i) for x in near for i in range(64)} | set(near))
-    around = distinct.select("fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(_signed(x))) for x in near))).alias("value"))
-    least = around.groupBy("value").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    found = around.join(least, "value").where("fp <> b").select(F.col("fp").alias("a"), "b")
-    return found if radius % 2 == 0 else found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+        near.append(sorted({x ^ (1 << i) for x in near[-1] for i in range(64)} | set(near[-1])))
+    closer, around = (distinct.select("fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(F.lit(_signed(x))) for x in near[k]))).alias("value")) for k in (radius // 2, (radius + 1) // 2))
+    least = closer.groupBy("value").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n"))
+    least = (least.where("n > 1") if radius % 2 == 0 else least).drop("n")
+    return around.join(least, "value").where("fp <> b").select(F.col("fp").alias("a"), "b")
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
