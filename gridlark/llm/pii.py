@@ -3,7 +3,7 @@
 One Aho-Corasick pass over a text finds anchors: at-signs, plus signs, digits, schemes and the cue
 words of identifiers. Local parsers walk outwards from each anchor, fix the boundaries and validate.
 Offsets are code points, ends exclusive. Null texts count as empty; empty texts have no spans;
-repeated rows are kept.
+repeated rows are kept, and columns of any name. Cues inside a value found before them are part of it.
 """
 
 from __future__ import annotations
@@ -50,6 +50,12 @@ def automaton():
     return found
 
 
+def octet(digits: str) -> bool:
+    """At most 255, however many zeros lead."""
+    digits = digits.lstrip("0")
+    return len(digits) < 4 and int(digits or 0) <= 255
+
+
 def luhn(digits: list[int]) -> bool:
     doubled = [d * 2 - 9 * (d > 4) for d in digits[-2::-2]]
     return (sum(digits[-1::-2]) + sum(doubled)) % 10 == 0
@@ -204,7 +210,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     numbers = runs(places("digit"))
     for chain in chains(text, numbers, "."):
         for four in (chain[i : i + 4] for i in range(0, len(chain) - 3, 4)):
-            if all(b - a < 4000 and int(text[a:b]) <= 255 for a, b in four):
+            if all(octet(text[a:b]) for a, b in four):
                 out.append(("ip", four[0][0], four[-1][1]))
     for chain in chains(text, numbers, " -"):
         if 13 <= sum(b - a for a, b in chain) <= 19 and luhn([int(c) for a, b in chain for c in text[a:b]]):
@@ -212,8 +218,11 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     out += [("phone", *x) for x in phones(text, places("plus"))]
     out += [("url", *x) for x in urls(text, sorted(hits.get("scheme", []) + hits.get("www", []), key=lambda x: x[1]))]
     for kind, parse in (("iban", iban), ("account", account), ("ssn", ssn), ("secret", secret)):
-        found = {parse(text, end) for _, start, end in hits.get(kind, []) if not start or text[start - 1] not in WORD}
-        out += [(kind, *x) for x in sorted(found - {None})]
+        last = 0
+        for _, start, end in hits.get(kind, []):
+            if start >= last and (not start or text[start - 1] not in WORD) and (found := parse(text, end)):
+                out.append((kind, *found))
+                last = found[1]
     return out
 
 
