@@ -1,15 +1,18 @@
 """Main text of web pages by two passes of block rules.
 
 A small tokenizer splits the markup into blocks at block-level tags, keeps for each its text, its share
-of link text and the kind of section around it, and skips scripts, styles and the like. Pass one decides
-blocks: sections that name themselves boilerplate and blocks of links are bad; long blocks with many
-stop words are good, and so are those inside an article or main element unless links fill them; long
-blocks without stop words outside of one are bad. Pass two: each block still open takes the label of
-its nearest decided neighbour, the better one of a tie; inside an article it is bad only if the nearest
-ones on both sides are.
-
-Null and empty pages, and pages without a good block, give an empty text. Repeated rows are kept.
-Texts are never cut; unclosed tags end with the page.
+of link text and where it stands, and skips scripts, styles and the like. Elements whose tag or name says that
+they are no part of a text (menus, notices, comments and so on) are excluded sections.
+
+Pass one decides blocks by their length, link density and stop-word density: blocks of links are bad; long
+blocks with many stop words are good, and long ones without are bad. Where a block stands moves the bounds: inside
+an article or main element fewer stop words will do, on a page that has such an element only long prose counts
+elsewhere. Excluded sections are bad. Pass two: each block still open takes the label of its nearest decided
+neighbour, the better one of a tie; inside an article it is bad only if the nearest ones on both sides
+are, and excluded sections there are no neighbours.
+
+Null and empty pages, and pages without a good block, give an empty text. Repeated rows are kept, extra columns
+ignored. Texts are never cut; unclosed tags end with the page. Time grows with the page's length.
 """
 
 from __future__ import annotations
@@ -50,7 +53,7 @@ GOOD, BAD, OPEN = 1, 0, -1
 
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 _ATTRS = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
-_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
+_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _WORD = re.compile(r"[^\W\d_]+")
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -61,12 +64,54 @@ def stop_words() -> frozenset[str]:
 
 
 class Block:
-    __slots__ = ("bad", "container", "heading", "linked", "parts")
+    __slots__ = ("bad", "container", "linked", "parts")
 
-    def __init__(self, container: int, bad: bool, heading: bool):
+    def __init__(self, container: int, bad: bool):
         self.parts: list[str] = []
         self.linked: list[str] = []
-        self.container, self.bad, self.heading = container, bad, heading
+        self.container, self.bad = container, bad
+
+
+class Open:
+    """The open elements, each with the state before it; elements are found by name or as blocks without a search."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple]] = []
+        self.places: dict[str, list[int]] = {}
+        self.solid: list[int] = []  # places of elements that aren't inline
+
+    def push(self, tag: str, state: tuple) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.solid.append(len(self.stack))
+        self.stack.append((tag, state))
+
+    def last(self, tag: str) -> int | None:
+        found = self.places.get(tag)
+        return found[-1] if found else None
+
+    def pop(self, to: int) -> tuple:
+        """Closes the element at a place and all inside it; the state before it."""
+        state = self.stack[to][1]
+        while len(self.stack) > to:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+        while self.solid and self.solid[-1] >= to:
+            self.solid.pop()
+        return state
+
+    def ended_by(self, same: tuple[str, ...]) -> int | None:
+        """The place of one of these elements that only inline elements and paragraphs lie in."""
+        for at in reversed(self.solid):
+            if self.stack[at][0] in same:
+                return at
+            if self.stack[at][0] != "p":
+                return None
+        return None
+
+
+#: What a list item, cell and so on ends; other blocks end a paragraph.
+SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
 
 
 def _marked(attrs: str) -> int:
@@ -94,21 +139,16 @@ def _marks() -> frozenset[str]:
 def blocks(html: str) -> list[Block]:
     """The page's blocks with some text. container: number of the nearest article or main element, 0 outside."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int, bool]] = []  # tag, bad, skipped, container, link
+    elements = Open()
     bad = skipped = link = False
     container = containers = 0
-    now = Block(0, False, False)
+    now = Block(0, False)
 
-    def close(heading: bool = False) -> None:
+    def close() -> None:
         nonlocal now
         if now.parts:
             out.append(now)
-        now = Block(container, bad, heading)
-
-    def pop(to: int) -> None:
-        nonlocal bad, skipped, container, link
-        _, bad, skipped, container, link = stack[to]
-        del stack[to:]
+        now = Block(container, bad)
 
     at, n = 0, len(html)
     while at < n:
@@ -131,39 +171,33 @@ def blocks(html: str) -> list[Block]:
             continue
         tag = tag.lower()
         if closing:
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            where = elements.last(tag)
             if where is None:
                 if tag in ("p", "br"):
                     close()
-                continue
-            if tag in INLINE and any(x[0] not in INLINE for x in stack[where + 1 :]):
+            elif tag in INLINE and elements.solid and elements.solid[-1] > where:
                 link = link and tag != "a"  # a misnested inline end doesn't close blocks
-                continue
-            was = bad
-            pop(where)
-            if tag not in INLINE or bad != was:
-                close()
+            else:
+                was = bad
+                bad, skipped, container, link = elements.pop(where)
+                if tag not in INLINE or bad != was:
+                    close()
             continue
         attrs = html[found.end() : at - 1]
         if tag not in INLINE:
-            if tag in ENDS_PARAGRAPH or tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                same = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ("p",))
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in same:
-                        pop(i)
-                        break
-                    if stack[i][0] not in INLINE and stack[i][0] != "p":
-                        break
+            if tag in ENDS_PARAGRAPH or tag in SAME or tag == "option":
+                where = elements.ended_by(SAME.get(tag, ("p",)))
+                if where is not None:
+                    bad, skipped, container, link = elements.pop(where)
             close()
         if tag in VOID or attrs.endswith("/") and tag in ("path", "circle", "rect"):
             continue
+        elements.push(tag, (bad, skipped, container, link))
         if tag in RAW:
             end = re.compile(rf"</{tag}\b", re.I).search(html, at)
             at = end.start() if end else n
-            stack.append((tag, bad, skipped, container, link))
             skipped = True
             continue
-        stack.append((tag, bad, skipped, container, link))
         mark = _marked(attrs) if attrs.strip() and tag not in ("html", "body") else OPEN
         apart = mark == BAD and not bad and tag in INLINE
         if apart:  # an inline notice or advert is a block of its own
@@ -178,60 +212,72 @@ def blocks(html: str) -> list[Block]:
             skipped = False
         link = link or tag == "a"
         if tag not in INLINE or apart:
-            heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-            now = Block(container, bad, heading)
+            now = Block(container, bad)
     close()
     return out
 
 
-def decided(length: int, links: float, stops: float, inside: bool, bad: bool) -> int:
-    """Pass one, from the block's length, link density, stop-word density and section."""
-    if bad or links > LINKS_BAD:
+#: Places of blocks: on a page that names no article, inside an article, outside of the page's articles.
+PLAIN, INSIDE, OUTSIDE = range(3)
+
+
+def decided(length: int, links: float, stops: float, place: int, excluded: bool) -> int:
+    """Pass one, from the block's length, link density, stop-word density and place."""
+    if excluded or links > LINKS_BAD:
         return BAD
-    if inside:
-        return GOOD if length >= LENGTH_SHORT and (stops >= STOP_LOW or length >= LENGTH_LONG) else OPEN
+    if place == OUTSIDE:
+        return GOOD if length >= LENGTH_LONG and stops >= STOP_HIGH else BAD
     if length < LENGTH_SHORT:
         return OPEN
+    if place == INSIDE:
+        return GOOD if stops >= STOP_LOW or length >= LENGTH_LONG else OPEN
     if stops >= STOP_HIGH or stops >= STOP_LOW and length >= LENGTH_LONG:
         return GOOD
     return BAD if stops < STOP_LOW else OPEN
 
 
+def inherited(labels: list[int], containers: list[int], excluded: list[bool]) -> list[int]:
+    """Pass two: labels with every open one taken from its nearest decided neighbours in the same container."""
+    n = len(labels)
+    nearest = []
+    for order, step in ((range(n), -1), (range(n - 1, -1, -1), 1)):
+        near = [(n + 1, OPEN)] * n
+        for i in order:
+            j = i + step
+            if labels[i] != OPEN:
+                near[i] = (0, labels[i])
+            elif 0 <= j < n and containers[j] == containers[i] and not (containers[j] and excluded[j]):
+                near[i] = (near[j][0] + 1, near[j][1])
+        nearest.append(near)
+    out = []
+    for i, label in enumerate(labels):
+        if label == OPEN:
+            sides = [x[i] for x in nearest if x[i][1] != OPEN]
+            if containers[i]:
+                label = BAD if [x for _, x in sides] == [BAD, BAD] else GOOD
+            else:
+                least = min((d for d, _ in sides), default=0)
+                label = max((x for d, x in sides if d == least), default=BAD)
+        out.append(label)
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The good blocks' texts in page order, white space inside collapsed, joined by spaces."""
     if not html:
         return ""
-    rows = []
+    texts, found, measures = [], [], []
     for b in blocks(html):
-        text = " ".join(unescape("".join(b.parts)).split())
-        if text:
-            words = [w for w in _WORD.findall(text.lower())]
+        if text := " ".join(unescape("".join(b.parts)).split()):
+            words = _WORD.findall(text.lower())
             linked = len(" ".join(unescape("".join(b.linked)).split())) / len(text) if b.linked else 0.0
-            stops = sum(w in stop_words() for w in words) / len(words) if words else 0.0
-            rows.append((text, b, decided(len(text), linked, stops, b.container > 0, b.bad)))
-    if any(b.container and not b.bad for _, b, _ in rows):  # a page that names its article has no text elsewhere
-        rows = [(t, b, label if b.container else BAD) for t, b, label in rows]
-    labels = [label for _, _, label in rows]
-    n = len(rows)
-    before, after = [(n + 1, OPEN)] * n, [(n + 1, OPEN)] * n
-    for order, near, step in ((range(n), before, -1), (range(n - 1, -1, -1), after, 1)):
-        for i in order:
-            if labels[i] != OPEN:
-                near[i] = (0, labels[i])
-            elif 0 <= i + step < n and rows[i + step][1].container == rows[i][1].container and not (rows[i + step][1].container and labels[i + step] == BAD and rows[i + step][1].bad):
-                near[i] = (near[i + step][0] + 1, near[i + step][1])
-    kept = []
-    for i, (text, b, label) in enumerate(rows):
-        if label == OPEN:
-            (d, x), (e, y) = before[i], after[i]
-            known = [z for z in (x, y) if z != OPEN]
-            if b.container:  # only between two bad ones of the same article is it bad
-                label = BAD if known == [BAD, BAD] else GOOD
-            else:
-                label = BAD if not known else max(known) if d == e else x if d < e and x != OPEN or y == OPEN else y
-        if label == GOOD:
-            kept.append(text)
-    return " ".join(kept)
+            texts.append(text)
+            found.append(b)
+            measures.append((len(text), linked, sum(map(stop_words().__contains__, words)) / len(words) if words else 0.0))
+    named = any(b.container and not b.bad for b in found)
+    labels = [decided(*m, INSIDE if b.container else OUTSIDE if named else PLAIN, b.bad) for m, b in zip(measures, found)]
+    kept = inherited(labels, [b.container for b in found], [b.bad for b in found])
+    return " ".join(t for t, label in zip(texts, kept) if label == GOOD)
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
