@@ -1,17 +1,22 @@
 """Language-model scoring with a weighted backoff automaton that no single machine has to hold.
 
-The model is a bigram model with Dirichlet smoothing: p(w | v) = (c(v, w) + k p(w)) / (c(v) + k), with
-p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)). As an automaton, each known word is a state, each seen bigram an
-arc, and a state's failure arc leads to the root with weight k / (c(v) + k); both weights sum to one.
-
-Texts are dealt into blocks by hash. A block asks the buckets of the n-gram table (ranges of a 64-bit
-hash) for the counts of its own n-grams and gets back the part of the automaton that its texts can
-visit; the requests themselves carry the counts to be summed. So counts cover the whole corpus, what
-moves grows with it in proportion, and every task holds one block or one bucket, both of bounded
-size. Hot words are one entry per block. One left-to-right traversal then scores each text.
-
-Null texts count as empty: one token, the end. A null key is held out. Repeated rows count each
-time. An empty training set gives add-0.1 probabilities of an empty table; an empty table no rows.
+The model's n-grams have up to ORDER tokens. Of a history h that the training texts have,
+p(w | h) = (c(h, w) + k p(w | h')) / (c(h) + k), where h' lacks h's first token and k depends on h's length; of
+other histories p(w | h) = p(w | h'). At the end stands p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
+
+As an automaton: seen histories are states, of at most ORDER - 1 tokens, the empty one is the root; seen
+n-grams are arcs; a state's failure arc leads to its longest proper suffix and weighs k / (c(h) + k). After
+each token the automaton is in the longest seen history that ends there. All weights of a state sum to one.
+
+Texts form blocks where they are read. A block asks the buckets of the n-gram table (ranges of a hash) for the
+counts of its own n-grams and gets back the part of the automaton that its texts can visit; the requests
+themselves carry the counts to be summed, so the model covers the whole corpus. Only runs with some n-gram
+are sent, so there are never more rows than n-grams, and every task holds one block or one bucket at a time,
+both of bounded size. Hot words are one entry per block, repeated texts lie in several blocks.
+
+N-grams are told apart by hashes of so many bits that one unseen in training meets a seen one with a
+chance of about 2^-SLACK. Null texts count as empty: one token, the end. A null key is held out. Repeated rows
+count each time. An empty training set gives add-0.1 probabilities of an empty table; an empty table no rows.
 """
 
 from __future__ import annotations
@@ -26,23 +31,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import buckets
+from .common import buckets, input_bytes
 
 ADD = 0.1
-#: Strength of the unigram prior in a bigram's distribution.
-PRIOR = 100.0
-#: Bytes of input per block and per bucket.
-BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
+#: Strength of the shorter history's distribution, by the tokens of the history: one, two and three.
+PRIORS = (300.0, 30.0, 10.0)
+#: Bytes of text per block and of input per bucket; most partitions, each of which works through its buckets in turn.
+BLOCK_BYTES, BUCKET_BYTES, PARTITIONS = 8 << 20, 8 << 20, 20_000
+#: Bits of an n-gram's hash beyond those that number the input's bytes.
+SLACK = 19
 #: Hashes of the end token and of the start context; words hash elsewhere but for a chance of 2^-64.
 END, START = np.uint64(1), np.uint64(2)
 
 
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' tokens, each text closed by END; where each text starts, and the end."""
     words: list[bytes] = []
     sizes = []
     for t in texts:
-        own = (t or "").encode().lower().split()
+        own = t.lower().split()
         words += own
         words.append(b"")
         sizes.append(len(own) + 1)
@@ -52,26 +59,35 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, starts
 
 
-def bigrams(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the bigrams ending in each token; and of the tokens' histories."""
-    before = np.empty_like(hashes)
-    before[1:] = hashes[:-1]
-    before[starts[:-1]] = START
-    mixed = before * np.uint64(0x9E3779B97F4A7C15) + hashes
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0xFF51AFD7ED558CCD)
-    mixed ^= mixed >> np.uint64(29)
-    return mixed, before
+def grams(hashes: np.ndarray, starts: np.ndarray, bits: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order the hashes of the n-grams that end in each token, and whether the text has such a one; START counts as a token."""
+    place = np.arange(len(hashes)) - np.repeat(starts[:-1], np.diff(starts))
+    shift = np.uint64(64 - bits)
+    own = hashes
+    for order in range(1, most + 1):
+        if order > 1:
+            before = np.concatenate([hashes[:0], own[:1], own[:-1]])
+            if order == 2:
+                before[place == 0] = START
+            own = before * np.uint64(0x9E3779B97F4A7C15) + hashes
+            own ^= own >> np.uint64(32)
+            own *= np.uint64(0xFF51AFD7ED558CCD)
+            own ^= own >> np.uint64(29)
+        yield (own * np.uint64(0xD6E8FEB86659FD93) if order == 1 else own) >> shift, place >= order - 2
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Bytes of equal weight side by side, so that the shuffle's compression removes the empty ones."""
-    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    """Compressed, with bytes of equal weight side by side."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
 
 
 def unplanes(packed: bytes, dtype: type) -> np.ndarray:
+    import zstandard
+
     size = np.dtype(dtype).itemsize
-    return np.frombuffer(packed, np.uint8).reshape(size, -1).T.copy().view(dtype).ravel()
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(size, -1).T.copy().view(dtype).ravel()
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -82,14 +98,57 @@ def unpack_sorted(packed: bytes) -> np.ndarray:
     return np.cumsum(unplanes(packed, np.uint64), dtype=np.uint64)
 
 
-def cuts(values: np.ndarray, n: int) -> np.ndarray:
-    """Where each of n equal ranges of the hash starts in sorted values, and the end."""
-    bounds = [-(-(b << 64) // n) for b in range(1, n)]
-    return np.concatenate([[0], np.searchsorted(values, np.array(bounds, np.uint64)), [len(values)]]).astype(np.int64)
+def cuts(values: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted values, the buckets (equal ranges of the hash) that have some, and where each one's run starts, and the end."""
+    high = values >> np.uint64(bits - 32) if bits > 32 else values << np.uint64(32 - bits)
+    bucket = (high * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return bucket[starts], np.append(starts, len(values))
+
+
+_LISTS = T.ArrayType(T.BinaryType())
+ASKED = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("hashes", _LISTS), T.StructField("counts", _LISTS)])
+TOLD = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("totals", _LISTS)])
+
+
+def form(key: pa.DataType, size: int):
+    """Rows (key, held_out, text) to blocks of about `size` bytes of text. A block's number follows from its content and place."""
+    import zstandard
+
+    def block(rows: list[tuple], at: int) -> pa.RecordBatch:
+        from pyspark import TaskContext
+
+        keys, held, texts = zip(*rows)
+        texts = [(t or "").encode() for t in texts]
+        packed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+        number = xxhash.xxh3_64(f"{TaskContext.get().partitionId()}/{at}/{keys}".encode())
+        number.update(packed)
+        columns = ([number.intdigest() >> 1], [list(keys)], [list(held)], [list(map(len, texts))], [packed])
+        types = (pa.int64(), pa.list_(key), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary())
+        return pa.record_batch([pa.array(x, t) for x, t in zip(columns, types)], names=["block", "keys", "held", "sizes", "texts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total, at = [], 0, 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                for row in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns)):
+                    held.append(row)
+                    total += len(row[2] or "")
+                    if total >= size:
+                        yield block(held, at)
+                        held, total, at = [], 0, at + 1
+        if held:
+            yield block(held, at)
+
+    return run
+
 
+def texts_of(sizes: list[int], packed: bytes) -> list[bytes]:
+    import zstandard
 
-ASKED = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("bucket", T.IntegerType()), *(T.StructField(n, T.BinaryType()) for n in ("h1", "c1", "h2", "c2"))])
-TOLD = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("t1", T.BinaryType()), T.StructField("t2", T.BinaryType()), T.StructField("tokens", T.LongType()), T.StructField("types", T.LongType())])
+    whole = zstandard.ZstdDecompressor().decompress(packed) if any(sizes) else b""
+    ends = np.cumsum(sizes).tolist()
+    return [whole[b - n : b] for b, n in zip(ends, sizes)]
 
 
 def runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[dict[str, list]]:
@@ -115,26 +174,28 @@ def runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[dict[str, list]
         yield held
 
 
-def ask(n_buckets: int):
-    """Blocks to requests: per bucket, the block's sorted n-gram hashes and their training counts."""
+def ask(n_buckets: int, bits: int, most: int):
+    """Blocks to requests: per bucket that has some, the block's sorted n-gram hashes of each order and their training counts."""
     arrow = to_arrow_schema(ASKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs(batches, "_block"):
-            hashes, starts = tokens(rows["_text"])
-            train = np.repeat(~np.array(rows["held_out"]), np.diff(starts)).astype(np.float64)
-            out = []
-            for values in (hashes, bigrams(hashes, starts)[0]):
-                found, inverse = np.unique(values, return_inverse=True)
-                counts = np.bincount(inverse, train, len(found)).astype(np.uint32)
-                out.append((found, counts, cuts(found, n_buckets)))
-            (f1, n1, x1), (f2, n2, x2) = out
-            block = rows["_block"][0]
-            columns = [[block] * n_buckets, list(range(n_buckets)), [], [], [], []]
-            for a, b, c, d in zip(x1.tolist(), x1[1:].tolist(), x2.tolist(), x2[1:].tolist()):
-                for column, x in zip(columns[2:], (pack_sorted(f1[a:b]), planes(n1[a:b]), pack_sorted(f2[c:d]), planes(n2[c:d]))):
-                    column.append(x)
-            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(columns, arrow)], schema=arrow)
+        for one in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
+            row = one.to_pylist()[0]
+            hashes, starts = tokens(texts_of(row["sizes"], row["texts"]))
+            train = np.repeat(~np.array(row["held"]), np.diff(starts)).astype(np.float64)
+            rows: dict[int, tuple[list, list]] = {}
+            for order, (values, there) in enumerate(grams(hashes, starts, bits, most)):
+                found, inverse = np.unique(values[there], return_inverse=True)
+                counts = np.bincount(inverse, train[there], len(found)).astype(np.uint32)
+                some, at = cuts(found, n_buckets, bits)
+                for b, x, y in zip(some.tolist(), at.tolist(), at[1:].tolist()):
+                    mine = rows.setdefault(b, ([None] * most, [None] * most))
+                    mine[0][order], mine[1][order] = pack_sorted(found[x:y]), planes(counts[x:y])
+            order = sorted(rows)
+            for i in range(0, len(order), 64):
+                part = order[i : i + 64]
+                columns = [[row["block"]] * len(part), part, [rows[b][0] for b in part], [rows[b][1] for b in part]]
+                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(columns, arrow)], schema=arrow)
 
     return run
 
@@ -144,96 +205,150 @@ def summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return found, np.bincount(inverse, np.concatenate(counts), len(found)).astype(np.uint32)
 
 
-def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets to replies: each block's totals in the order of its request, and the bucket's share of N and V."""
+def tell(most: int):
+    """Buckets to replies: each block's totals in the order of its request."""
     arrow = to_arrow_schema(TOLD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, "bucket"):
+            n = len(rows["block"])
+            totals: list[list] = [[None] * most for _ in range(n)]
+            for order in range(most):
+                asked = [i for i in range(n) if rows["hashes"][i][order] is not None]
+                if asked:
+                    hashes = [unpack_sorted(rows["hashes"][i][order]) for i in asked]
+                    found, counts = summed(hashes, [unplanes(rows["counts"][i][order], np.uint32) for i in asked])
+                    for i, h in zip(asked, hashes):
+                        totals[i][order] = planes(counts[np.searchsorted(found, h)])
+            for at in range(0, n, 64):
+                part = slice(at, min(n, at + 64))
+                yield pa.record_batch([pa.array(x[part], f.type) for x, f in zip((rows["block"], rows["bucket"], totals), arrow)], schema=arrow)
+
+    return run
+
+
+def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets to their shares of N and V."""
     for rows in runs(batches, "bucket"):
-        totals, stats = [], (0, 0)
-        for order in "12":
-            hashes = [unpack_sorted(x) for x in rows[f"h{order}"]]
-            found, counts = summed(hashes, [unplanes(x, np.uint32) for x in rows[f"c{order}"]])
-            if order == "1":
-                stats = (int(counts.sum(dtype=np.int64)), int((counts > 0).sum()))
-            totals.append([planes(counts[np.searchsorted(found, h)]) for h in hashes])
-            del hashes
-        n = len(rows["block"])
-        for at in range(0, n, 64):
-            part = slice(at, min(n, at + 64))
-            size = part.stop - at
-            columns = [rows["block"][part], rows["bucket"][part], totals[0][part], totals[1][part], [stats[0]] * size, [stats[1]] * size]
-            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(columns, arrow)], schema=arrow)
+        asked = [i for i, x in enumerate(rows["hashes"]) if x[0] is not None]
+        if asked:
+            _, counts = summed([unpack_sorted(rows["hashes"][i][0]) for i in asked], [unplanes(rows["counts"][i][0], np.uint32) for i in asked])
+            yield pa.record_batch([pa.array([int(counts.sum(dtype=np.int64))]), pa.array([int((counts > 0).sum())])], names=["tokens", "types"])
 
 
 class Automaton:
-    """States are word numbers of a block, `start`, or the root (no history), which is the last."""
-
-    def __init__(self, words: np.ndarray, start_count: int, histories: np.ndarray, followers: np.ndarray, pairs: np.ndarray, n: int, v: int, prior: float = PRIOR):
-        """words: counts by word number; histories, followers, pairs: the bigrams by number, and their counts."""
-        self.start, self.root, self.width = len(words), len(words) + 1, len(words) + 2
-        p = (words + ADD) / (n + ADD * (v + 1))
-        self.root_arcs = np.log10(p)
-        context = np.append(words, start_count).astype(np.float64)
-        self.failure = np.append(np.log10(prior / (context + prior)), 0.0).tolist()
-        self.next = np.where(words > 0, np.arange(len(words)), self.root).tolist()
-        seen = pairs > 0
-        weights = np.log10((pairs[seen] + prior * p[followers[seen]]) / (context[histories[seen]] + prior))
-        self.arcs = dict(zip((histories[seen] * self.width + followers[seen]).tolist(), weights.tolist()))
-
-    def traverse(self, text: list[int]) -> float:
-        """log10 of the text's probability; the state after a word is the word, or the root if it is unknown."""
-        total, state = 0.0, self.start
-        arcs, failure, follow, root, width = self.arcs.get, self.failure, self.next, self.root_list, self.width
-        for w in text:
-            weight = arcs(state * width + w)
-            total += failure[state] + root[w] if weight is None else weight
-            state = follow[w]
+    """The part of the automaton that a block's texts can visit.
+
+    ends[o][i] is the number of the n-gram of order o + 1 that ends in token i, or -1; counts[o] its training
+    counts by number; places the tokens' places in their texts; n, v and texts the training set's sizes.
+    """
+
+    def __init__(self, ends: list[np.ndarray], counts: list[np.ndarray], places: np.ndarray, n: int, v: int, texts: int, priors: tuple = PRIORS):
+        self.ends, self.places, self.texts = ends, places, texts
+        log = lambda x: np.log10(x)
+        p = (counts[0] + ADD) / (n + ADD * (v + 1))
+        self.root = log(p)
+        #: By order: weights of arcs; and of the failure arcs of the states that such n-grams lead to.
+        self.arcs, self.failures, self.seen = [self.root], [], [counts[0] > 0]
+        shorter = p[ends[0]]
+        for order, (at, k) in enumerate(zip(ends[1:], priors), 1):
+            history = self._history(order, counts[order - 1])
+            self.failures.append(log(k / (history + k)))
+            there = np.flatnonzero(at >= 0)
+            p = np.where(history[there] > 0, (counts[order][at[there]] + k * shorter[there]) / (history[there] + k), shorter[there])
+            shorter = shorter.copy()
+            shorter[there] = p
+            weights = np.zeros(len(counts[order]))
+            weights[at[there]] = log(p)
+            self.arcs.append(weights)
+            self.seen.append(counts[order] > 0)
+
+    def _history(self, order: int, counts: np.ndarray) -> np.ndarray:
+        """Training counts of the history of `order` tokens before each token; 0 where the text has none."""
+        out = np.zeros(len(self.places))
+        before = self.ends[order - 1][:-1]
+        out[1:] = np.where(before >= 0, counts[before], 0)
+        out[self.places == 0] = self.texts if order == 1 else 0
+        return out
+
+    def traverse(self) -> np.ndarray:
+        """Each token's log10 probability, of all texts' traversals side by side.
+
+        Seen n-grams are closed under suffixes and prefixes. So the state before a token is the longest seen
+        n-gram that ends in the token before it, and the arc taken is the longest seen one that ends in the
+        token: failure arcs lead from the one length down to the other.
+        """
+        longest = np.zeros(len(self.places), np.int64)
+        for order, (at, seen) in enumerate(zip(self.ends, self.seen), 1):
+            longest[(at >= 0) & seen[at]] = order
+        state = np.minimum(np.concatenate([[0], longest[:-1]]), len(self.ends) - 1)
+        state[self.places == 0] = min(1, self.texts, len(self.ends) - 1)
+        total = self.root[self.ends[0]]
+        for order in range(2, len(self.ends) + 1):
+            taken = longest == order
+            total[taken] = self.arcs[order - 1][self.ends[order - 1][taken]]
+        for length, weights in enumerate(self.failures, 1):
+            failing = (state >= length) & (longest <= length)
+            total[failing] += weights[failing]
         return total
 
-    @property
-    def root_list(self) -> list[float]:
-        if not hasattr(self, "_root_list"):
-            self._root_list = self.root_arcs.tolist()
-        return self._root_list
-
-
-def score_block(texts: list[str | None], told: dict[str, list], prior: float = PRIOR) -> dict[str, np.ndarray]:
-    hashes, starts = tokens(texts)
-    mixed, before = bigrams(hashes, starts)
-    order = np.argsort(told["bucket"])
-    joined = lambda name: np.concatenate([unplanes(told[name][i], np.uint32) for i in order]).astype(np.int64)
-    words, pairs = joined("t1"), joined("t2")
-    n, v = sum(told["tokens"]), sum(told["types"])
-    found, number = np.unique(hashes, return_inverse=True)
-    _, first = np.unique(mixed, return_index=True)
-    end = int(np.searchsorted(found, END))
-    history = np.append(number[:-1], 0)[first - 1]
-    history[before[first] == START] = len(found)
-    model = Automaton(words, int(words[end]), history, number[first], pairs, n, v, prior)
-    numbers, bounds = number.tolist(), starts.tolist()
+
+def score_block(row: dict, told: dict[str, list], bits: int, priors: tuple = PRIORS) -> dict[str, np.ndarray]:
+    hashes, starts = tokens(texts_of(row["sizes"], row["texts"]))
+    replies = [told["totals"][i] for i in np.argsort(told["bucket"])]
+    most = len(priors) + 1
+    ends, counts = [], []
+    for order, (values, there) in enumerate(grams(hashes, starts, bits, most)):
+        _, inverse = np.unique(values[there], return_inverse=True)
+        at = np.full(len(hashes), -1)
+        at[there] = inverse
+        ends.append(at)
+        counts.append(np.concatenate([np.zeros(0, np.uint32), *(unplanes(x[order], np.uint32) for x in replies if x[order] is not None)]).astype(np.int64))
+        if len(counts[-1]) != inverse.max(initial=-1) + 1:
+            raise RuntimeError("A block's rows changed between its request and its replies.")
+    n, v = row["tokens"] or 0, row["types"] or 0
+    model = Automaton(ends, counts, np.arange(len(hashes)) - np.repeat(starts[:-1], np.diff(starts)), n, v, int(counts[0][ends[0][starts[1] - 1]]), priors)
     at = starts[:-1]
     return {
         "n_tokens": np.diff(starts),
-        "n_known": np.add.reduceat((words[number] > 0).astype(np.int64), at),
-        "train_tokens": np.full(len(texts), n, np.int64),
-        "base_score": np.add.reduceat(model.root_arcs[number], at),
-        "score": np.array([model.traverse(numbers[a:b]) for a, b in zip(bounds, bounds[1:])]),
+        "n_known": np.add.reduceat(model.seen[0][ends[0]].astype(np.int64), at),
+        "train_tokens": np.full(len(at), n, np.int64),
+        "base_score": np.add.reduceat(model.root[ends[0]], at),
+        "score": np.add.reduceat(model.traverse(), at),
     }
 
 
-def score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", prior: float = PRIOR) -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; learns where held_out is false."""
-    source = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), held_out.alias("held_out"))
-    n_blocks, n_buckets = buckets(df, BLOCK_BYTES), buckets(df, BUCKET_BYTES)
-    block = F.pmod(F.xxhash64("_key", "_text"), F.lit(n_blocks)).cast("int")
-    blocks = source.withColumn("_block", block).repartition(n_buckets, "_block")  # both uses below share this shuffle
-    asked = blocks.sortWithinPartitions("_block").mapInArrow(ask(n_buckets), ASKED)
-    told = asked.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tell, TOLD)
+def requests(df: DataFrame, held_out: Column, key: str, text: str, most: int, bits: int, block_bytes: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks (block, keys, held, sizes, texts), and what they ask, together by bucket."""
+    n_buckets = buckets(df, bucket_bytes)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(least, min(n_buckets, PARTITIONS))
+    kind = df.schema[key].dataType
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("texts", T.BinaryType())])
+    source = df.select(F.col(key).alias("_key"), held_out.alias("_held"), F.col(text).alias("_text"))
+    formed = source.mapInArrow(form(to_arrow_schema(T.StructType([T.StructField("x", kind)])).field(0).type, block_bytes), schema)
+    blocks = formed.repartition(partitions, "block")  # both uses share this shuffle
+    asked = blocks.mapInArrow(ask(n_buckets, bits, most), ASKED).repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    return blocks, asked
+
+
+def score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", priors: tuple = PRIORS, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; learns where held_out is false.
+
+    priors has one strength per length of history, so the model's order is one more than their number.
+    """
+    bits = min(64, SLACK + max(20, input_bytes(df).bit_length()))
+    blocks, asked = requests(df, held_out, key, text, len(priors) + 1, bits, block_bytes, bucket_bytes)
+    told = asked.mapInArrow(tell(len(priors) + 1), TOLD)
+    whole = asked.mapInArrow(sizes, "tokens long, types long").agg(F.struct(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).alias("n")).scalar()
+    sized = blocks.withColumn("n", whole).select("*", "n.tokens", "n.types").drop("n")
     schema = T.StructType([df.schema[key], T.StructField("held_out", T.BooleanType()), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(schema)
 
-    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
-        found = score_block(texts.column("_text").to_pylist(), replies.to_pydict(), prior)
-        columns = {key: texts.column("_key"), "held_out": texts.column("held_out")} | found
-        return pa.table([pa.array(x, f.type) if isinstance(x, np.ndarray) else x.cast(f.type) for x, f in ((columns[f.name], f) for f in arrow)], schema=arrow)
+    def run(block: pa.Table, replies: pa.Table) -> pa.Table:
+        row = block.to_pylist()[0]
+        found = score_block(row, replies.to_pydict(), bits, priors)
+        columns = {key: row["keys"], "held_out": row["held"]} | found
+        return pa.table([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
-    return blocks.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
+    return sized.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
