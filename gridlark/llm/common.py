@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -22,33 +23,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local default only where none is named."""
+    """The shared folder that the cluster names; a local one only where all runs on this machine and none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or "/tmp/checkpoints"
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("A cluster needs spark.checkpoint.dir, a folder that all its machines share.")
+    return "/tmp/checkpoints"
 
 
-_stashed: list[tuple[SparkSession, str]] = []
+_stashed: dict[str, SparkSession] = {}
 
 
-def _drop_stashed() -> None:
-    for spark, path in _stashed:
+def drop(paths: Iterable[str]) -> None:
+    """Deletes stashed relations that nothing reads any more."""
+    for path in list(paths):
+        spark = _stashed.pop(path, None)
         try:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001 - the session may have ended
-            return
+        except Exception:  # noqa: BLE001 - the session may have ended; the others are tried all the same
+            continue
 
 
-atexit.register(_drop_stashed)
+atexit.register(lambda: drop(_stashed))
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """df, written to the shared folder and read back, and its path."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/gridlark-{label}-{uuid.uuid4().hex}"
+    _stashed[path] = spark
     df.write.parquet(path)
-    _stashed.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stash(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+    return written(df, label)[0]
+
+
+@contextmanager
+def temporary() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What is stashed inside goes at the end, but for what the given function stashes: the relations that results read."""
+    before, kept = set(_stashed), set()
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        out, path = written(df, label)
+        kept.add(path)
+        return out
+
+    keep.paths = kept
+    yield keep
+    drop(set(_stashed) - before - kept)
 
 
 def input_bytes(df: DataFrame) -> int:

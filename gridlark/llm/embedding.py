@@ -1,15 +1,17 @@
 """Exact near-duplicate embeddings by cover trees and their dual traversal.
 
-Vectors of one label are split by nearest pivot, again and again, into cells that fit a task. Each
-cell gets a cover tree: nested levels whose covering radii halve, a node covering its members within its
-radius. Cells of a label, one with itself included, meet pairwise unless their roots lie too far apart
-for their radii; a pair is traversed from both roots, dropping node pairs by the same bound and taking
-whole those that lie close enough. What leaves a task is a count per vector and a spanning forest of the
-links, not the pairs.
-
-Equal vectors are one node with a multiplicity. Vectors that are null, empty, zero or hold null or
+Vectors of one label are split by nearest pivot, again and again, into cells that fit a task; the splits form a
+tree of cells, each with a center and a covering radius. That tree is traversed against itself, level by level:
+of a pair of cells the children's pairs go on unless they lie too far apart for their radii. Each cell has a
+cover tree: nested levels whose covering radii halve, a node covering its members within its radius. The
+pairs of cells that are left are traversed from both roots in the same way, down to pairs of vectors; node
+pairs that lie close enough are taken whole. What leaves a task is a count per vector and a spanning forest of
+the links, not the pairs.
+
+Vectors of one direction are one node with a multiplicity. Vectors that are null, empty, zero or hold null or
 non-finite components, and those with a null label, link with nothing and stay alone; so do vectors of
-different lengths. Repeated rows link with one another. An empty table gives an empty result.
+different lengths. Repeated rows link with one another. A row without a key links like any other; it is kept if
+its component has no key. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, stash
+from .common import map_arrow, stash, temporary
 from .graph import components
 
 COSINE = 0.98
@@ -31,6 +33,10 @@ COSINE = 0.98
 CELL, LEAST_PIVOTS, PIVOTS = 2048, 6, 32
 #: Members of a tree node that isn't split further.
 LEAF = 64
+#: By how much bounds may be off: distances come from dot products, whose rounding they magnify.
+SLACK = 1e-6
+#: Dot products with pivots that count as equal.
+TIE = 1e-12
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -114,8 +120,8 @@ class Links:
 
 def traverse(a: CoverTree, b: CoverTree | None, links: Links, cosine: float) -> None:
     """Adds every pair of members within the cosine; b None: the pairs inside a. b's members count from len(a.points)."""
-    far = np.sqrt(2 - 2 * cosine) + 1e-9
-    sure = np.sqrt(2 - 2 * cosine) - 1e-9
+    far = np.sqrt(2 - 2 * cosine) + SLACK
+    sure = np.sqrt(2 - 2 * cosine) - SLACK
     same, shift = b is None, 0 if b is None else len(a.points)
     b = a if same else b
     todo = [(0, 0)]
@@ -162,39 +168,67 @@ def _sizes(tree: CoverTree, at: np.ndarray) -> np.ndarray:
     return _take(tree.last, at) - _take(tree.first, at)
 
 
-def split(points: DataFrame) -> DataFrame:
-    """points with `cell` refined until no cell holds more than CELL of them.
+def split(points: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """points with `cell` refined until no cell holds more than CELL of them; the splits, as (parent, cell, center, radius).
 
     Pivots are drawn by a hash of the node and the round, so a round that draws too few in a cell is
-    followed by another draw.
+    followed by another draw. Points that lie as near to several pivots are dealt among these, so every split
+    makes cells smaller, however close its points are.
     """
+    splits: list[DataFrame] = []
     turn = 0
     while True:
         turn += 1
         sizes = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL)
         sizes = stash(sizes, "sizes")
         if not sizes.head(1):
-            return points
+            return points, splits
         wanted = F.greatest(F.lit(float(LEAST_PIVOTS)), F.least(F.lit(float(PIVOTS)), F.ceil(2 * F.col("n") / F.lit(CELL)))) / F.col("n")
         chance = F.pmod(F.xxhash64("node", "cell", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
         chosen = points.join(sizes, "cell").where(chance < wanted).groupBy("cell").agg(F.collect_list("vector").alias("pivots"))
         chosen = stash(chosen.where(F.size("pivots") > 1), "pivots")  # about PIVOTS of each cell
-        schema = points.schema
+        columns = points.columns
+        schema = T.StructType([*points.schema, T.StructField("parent", T.LongType()), T.StructField("pivot", T.IntegerType()), T.StructField("away", T.DoubleType())])
 
         def step(rows: dict) -> dict:
-            cells = list(rows["cell"])
+            out = {n: list(rows[n]) for n in columns} | {n: [None] * len(rows["cell"]) for n in ("parent", "pivot", "away")}
             by_cell: dict[int, list[int]] = {}
             for i, p in enumerate(rows["pivots"]):
                 if p:
-                    by_cell.setdefault(cells[i], []).append(i)
+                    by_cell.setdefault(rows["cell"][i], []).append(i)
             for cell, at in by_cell.items():
-                near = (unit(np.array([rows["vector"][i] for i in at])) @ unit(np.array(rows["pivots"][at[0]])).T).argmax(1)
-                for i, k in zip(at, near.tolist()):
-                    cells[i] = _child(cell, k)
-            return {n: rows[n] for n in schema.names if n != "cell"} | {"cell": cells}
+                dots = unit(np.array([rows["vector"][i] for i in at])) @ unit(np.array(rows["pivots"][at[0]])).T
+                best = nearest(dots, np.array([rows["node"][i] for i in at]), turn)
+                for i, k, d in zip(at, best.tolist(), dots[np.arange(len(at)), best].tolist()):
+                    out["cell"][i], out["parent"][i], out["pivot"][i], out["away"][i] = _child(cell, k), cell, k, max(0.0, 2 - 2 * d) ** 0.5
+            return out
 
-        refined = points.join(chosen, "cell", "left").select(*points.columns, "pivots")
-        points = stash(_by_batches(refined, step, schema), "cells")
+        refined = points.join(chosen, "cell", "left").select(*columns, "pivots")
+        refined = stash(_by_batches(refined, step, schema), "cells")
+        made = refined.where("parent is not null").groupBy("parent", "cell", "pivot").agg(F.max("away").alias("radius"))
+        made = made.join(chosen.withColumnRenamed("cell", "of"), F.col("parent") == F.col("of"))
+        splits.append(stash(made.select("parent", "cell", unit_of(F.element_at("pivots", F.col("pivot") + 1)).alias("center"), "radius"), "splits"))
+        points = refined.select(*columns)
+
+
+def nearest(dots: np.ndarray, nodes: np.ndarray, turn: int) -> np.ndarray:
+    """Per row the place of the largest dot product; of several that count as equal one by the node's number."""
+    tied = dots >= dots.max(1, keepdims=True) - TIE
+    drawn = (nodes.astype(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+    wanted = (drawn % tied.sum(1).astype(np.uint64)).astype(np.int64)
+    return (np.cumsum(tied, axis=1) > wanted[:, None]).argmax(1)
+
+
+def scaled_of(vector):
+    """The vector by its largest component: the same doubles for all vectors of one direction that are multiples of one another."""
+    wide = F.transform(vector, lambda x: x.cast("double"))
+    return F.element_at(F.transform(F.array(F.array_max(F.transform(wide, F.abs))), lambda most: F.transform(wide, lambda x: x / most)), 1)
+
+
+def unit_of(vector):
+    scaled = scaled_of(vector)
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return F.element_at(F.transform(F.array(scaled), lambda v: F.transform(v, lambda x: x / length(v))), 1)
 
 
 def _child(cell: int, k: int) -> int:
@@ -208,33 +242,48 @@ def _by_batches(df: DataFrame, step, schema: T.StructType) -> DataFrame:
 
 
 def cells_of(points: DataFrame) -> DataFrame:
-    """One row per cell: label, its number, root, radius, and the pickled tree with nodes and weights."""
-    schema = "label string, dims int, cell long, root array<double>, radius double, tree binary"
+    """One row per cell: its number, and the pickled tree with nodes and weights."""
+    schema = "cell long, tree binary"
 
     def build(rows: pa.Table) -> pa.Table:
         given = rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
-        vectors = unit(given)
-        tree = CoverTree(vectors)
+        tree = CoverTree(unit(given))
         tree.points = given  # as stored: half the bytes; scaled again on arrival
         packed = pickle.dumps((tree, np.array(rows.column("node").to_pylist()), np.array(rows.column("copies").to_pylist())))
-        one = lambda n: rows.column(n)[:1].to_pylist()
-        return pa.table({"label": one("label"), "dims": pa.array([vectors.shape[1]], pa.int32()), "cell": one("cell"), "root": [vectors[0].tolist()], "radius": [tree.radius[0]], "tree": [packed]})
+        return pa.table({"cell": rows.column("cell")[:1].to_pylist(), "tree": [packed]})
 
     return points.groupBy("cell").applyInArrow(build, schema)
 
 
+def meetings(roots: DataFrame, splits: list[DataFrame], cosine: float) -> DataFrame:
+    """(a, b), a <= b, of undivided cells that may have links, by traversing the tree of cells against itself."""
+    frontier = roots.select(F.col("cell").alias("a"), F.col("cell").alias("b"))
+    if not splits:
+        return frontier
+    tree = splits[0]
+    for x in splits[1:]:
+        tree = tree.union(x)
+    known = roots.select("cell", F.lit(None).cast("array<double>").alias("center"), F.lit(None).cast("double").alias("radius")).union(tree.drop("parent"))
+    ends = known.join(tree.select(F.col("parent").alias("of")).distinct(), F.col("cell") == F.col("of"), "left_anti")
+    below = stash(tree.select(F.col("parent").alias("of"), "cell", "center", "radius").union(ends.select(F.col("cell").alias("of"), "cell", "center", "radius")), "tree")
+    dot = F.aggregate(F.zip_with("center_a", "center_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot))
+    reach = F.col("radius_a") + F.col("radius_b") + F.lit(float(np.sqrt(2 - 2 * cosine)) + SLACK)
+    for _ in splits:  # as many levels at most
+        left, right = (below.toDF(*(f"{c}_{side}" for c in below.columns)) for side in "ab")
+        met = frontier.join(left, F.col("a") == F.col("of_a")).join(right, F.col("b") == F.col("of_b"))
+        met = met.where((F.col("a") < F.col("b")) | (F.col("cell_a") <= F.col("cell_b"))).where((F.col("cell_a") == F.col("cell_b")) | (apart <= reach))
+        frontier = stash(met.select(F.least("cell_a", "cell_b").alias("a"), F.greatest("cell_a", "cell_b").alias("b")), "meetings")
+    return frontier
+
+
 def link(points: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFrame]:
     """(node, n) partial counts and (a, b) edges of points (node, label, vector, copies)."""
-    placed = split(points.withColumn("cell", F.xxhash64("label", F.size("vector"))))
-    cells = stash(cells_of(placed), "trees")
-    roots = cells.select("label", "dims", "cell", "root", "radius")
-    left = roots.select("label", "dims", *(F.col(c).alias(f"{c}_a") for c in ("cell", "root", "radius")))
-    right = roots.select("label", "dims", *(F.col(c).alias(f"{c}_b") for c in ("cell", "root", "radius")))
-    dot = F.aggregate(F.zip_with("root_a", "root_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot))
-    reach = F.col("radius_a") + F.col("radius_b") + F.lit(float(np.sqrt(2 - 2 * cosine)) + 1e-9)
-    met = left.join(right, ["label", "dims"]).where(F.col("cell_a") <= F.col("cell_b")).where((F.col("cell_a") == F.col("cell_b")) | (apart <= reach)).select("cell_a", "cell_b")
-    trees = cells.select("cell", "tree")
+    placed = points.withColumn("cell", F.xxhash64("label", F.size("vector"))).select("node", "vector", "copies", "cell")
+    roots = stash(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "roots")
+    placed, splits = split(placed)
+    trees = stash(cells_of(placed), "trees")
+    met = meetings(roots, splits, cosine).toDF("cell_a", "cell_b")
     work = met.join(trees.select(F.col("cell").alias("cell_a"), F.col("tree").alias("tree_a")), "cell_a")
     other = trees.select(F.col("cell").alias("cell_b"), F.col("tree").alias("tree_b"))
     work = work.join(other, "cell_b")
@@ -267,14 +316,17 @@ def valid(label: str, vector: str):
 def classes(df: DataFrame, key: str = "vec_id", label: str = "label", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """key, n_links, component_id (smallest key reachable) and kept of every row."""
     rows = df.select(F.col(key).alias("_key"), F.col(label).cast("string").alias("label"), F.col(vector).alias("vector"), valid(label, vector).alias("_valid"))
-    good = rows.where("_valid").drop("_valid")
-    distinct = good.groupBy("label", "vector").agg(F.min("_key").alias("least"), F.count(F.lit(1)).alias("copies"))
-    distinct = stash(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    counts, edges = link(distinct.select("node", "label", "vector", "copies"), cosine)
-    near = counts.groupBy("node").agg(F.sum("n").alias("n"))
-    rooted = distinct.join(near, "node", "left").join(components(edges).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    rooted = stash(rooted.select("label", "vector", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "rooted")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    done = good.join(rooted.join(smallest, "root").drop("root", "least"), ["label", "vector"]).select("_key", "n_links", "component_id")
+    good = rows.where("_valid").drop("_valid").withColumn("scaled", scaled_of(F.col("vector")))
+    with temporary() as keep:
+        distinct = good.groupBy("label", "scaled").agg(F.min("_key").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
+        distinct = stash(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
+        counts, edges = link(distinct.select("node", "label", "vector", "copies"), cosine)
+        near = counts.groupBy("node").agg(F.sum("n").alias("n"))
+        rooted = distinct.join(near, "node", "left").join(components(edges).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+        rooted = stash(rooted.select("label", "scaled", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "rooted")
+        # Written, so that the join shuffles both sides anew and can split a large component; likewise many vectors of one direction.
+        smallest = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+        found = keep(rooted.join(smallest, "root").select("label", "scaled", "n_links", "component_id"), "found")
+    done = good.join(found, ["label", "scaled"]).select("_key", "n_links", "component_id")
     alone = rows.where("not _valid").select("_key", F.lit(0).cast("long").alias("n_links"), F.col("_key").alias("component_id"))
-    return done.union(alone).select(F.col("_key").alias(key), "n_links", "component_id", (F.col("_key") == F.col("component_id")).alias("kept"))
+    return done.union(alone).select(F.col("_key").alias(key), "n_links", "component_id", F.col("_key").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -32,11 +32,12 @@ def _large(edges: DataFrame) -> DataFrame:
     """Every node's larger neighbours move to its smallest neighbour or itself."""
     both = edges.union(edges.select("b", "a"))
     least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m"))
+    least = stash(least, "least")  # so that the join shuffles both sides anew and can split a hub's edges
     return both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours move to the smallest of them. Edges point from larger to smaller."""
-    least = edges.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+    least = stash(edges.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, F.col("a") == F.col("n")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("n", "m")).distinct()

@@ -24,7 +24,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) == 0)
+    scored = scoring.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) == 0)
+    return scored.select("*", (F.col("score") / F.col("n_tokens")).alias("mean_score"))
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [pii.count(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE]
     base = F.sha2(pii.listed(F.col("spans"), pii.BASE), 256).alias("base_sha256")
-    return found.select("doc_id", *counts, base, pii.listed(F.col("spans"), pii.KINDS).alias("spans"))
+    whole = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, base, pii.listed(F.col("spans"), pii.KINDS).alias("spans"), whole)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

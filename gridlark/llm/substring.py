@@ -3,19 +3,22 @@
 A passage is a window of `WINDOW` words. Of all suffixes of all texts only those at anchors enter the
 trees: a window's anchor is its leftmost smallest run of PREFIX words (by a mixed hash), so equal
 windows have their anchor at the same place, and consecutive windows with one anchor travel as one
-span. Anchors split the suffixes by their first PREFIX words:
-
-* an anchor with one owner or one content needs no tree: its spans are equal as a whole;
-* the other anchors' distinct contents meet in a subtree each, which lies in one task's memory: rows
-  sorted by the words right of the anchor, with their common lengths, are the right-hand subtree;
-  the same is done leftwards. Nodes at total depth WINDOW are the repeats, and the smallest owner below
-  one keeps it;
-* where a prefix has more than GROUP distinct contents it is extended to its full WINDOW words; such
-  groups are leaves, of which only the smallest owner is aggregated.
+span. A window reads from its anchor to its right end and then on to the left of the anchor, and prefixes of
+that reading split the windows into groups that lie in a task's memory:
+
+* equal spans are one leaf of their tree, which its smallest owner keeps; an anchor with a single leaf ends here;
+* a group starts with the PREFIX words of an anchor. While it has more than GROUP leaves, its prefix is
+  made longer (LENGTHS): windows whose right part has that many words stay together as a shorter span, each
+  other one continues to its left, apart from those with another place of the anchor;
+* a group that fits is a subtree: leaves sorted by the words right of the anchor, with their common
+  lengths, are its right-hand part; the same is done leftwards. Nodes at total depth WINDOW are the
+  repeats, and the smallest owner below one keeps it;
+* a prefix of WINDOW words is such a node by itself, so only its smallest owner is gathered.
 
 A word goes if it lies in a window that also starts in a document with a smaller key. Null, empty and
 short texts lose nothing; a null key neither loses nor owns anything; rows that repeat a key don't
-take words from one another. An empty table gives an empty result.
+take words from one another, and each loses its own. An empty table gives an empty result. Columns of any
+name are kept.
 """
 
 from __future__ import annotations
@@ -28,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_words, map_arrow, stash
+from .common import ascii_words, map_arrow, stash, temporary
 
 WINDOW, PREFIX = 50, 8
-#: Distinct contents of a prefix that one task holds as a subtree (about 600 bytes each).
-GROUP = 20_000
+#: Longer prefixes, each tried where the one before leaves too many leaves together.
+LENGTHS = (16, 32, WINDOW)
+#: Leaves of a group that one task holds as a subtree (about 600 bytes each); few, so that groups spread evenly.
+GROUP = 256
 _SLOTS = WINDOW - PREFIX + 1
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD)]
 
@@ -90,14 +95,14 @@ def spans_of(texts: list) -> tuple[list[int], dict]:
     return text.tolist(), found
 
 
-def spans(df: DataFrame, key: str, text: str) -> DataFrame:
-    schema = T.StructType([T.StructField("_key", df.schema[key].dataType), *SPAN])
+def spans(rows: DataFrame) -> DataFrame:
+    schema = T.StructType([rows.schema["key"], rows.schema["hash"], *SPAN])
 
-    def step(rows: dict) -> dict:
-        own, found = spans_of(rows[text])
-        return {"_key": [rows[key][i] for i in own]} | found
+    def step(x: dict) -> dict:
+        own, found = spans_of(x["text"])
+        return {n: [x[n][i] for i in own] for n in ("key", "hash")} | found
 
-    return map_arrow(df.where(F.col(key).isNotNull()).select(key, text), step, schema, text)
+    return map_arrow(rows, step, schema, "text")
 
 
 def repeated_pair(a: tuple, b: tuple) -> list[int]:
@@ -160,94 +165,129 @@ def masks(members: list[tuple]) -> list[int]:
 
 
 def subtrees(parts: DataFrame) -> DataFrame:
-    """(c1, c2, mask) of the contents that lose windows; parts come sorted by anchor, each anchor in one partition."""
+    """(c1, c2, mask) of the spans that lose windows; parts come sorted by group, each group in one partition."""
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("c1", "c2", "mask")])
 
     def run(batches):
         import pyarrow as pa
 
-        now, held = None, []
+        now, held = None, {}
 
         def close():
-            return [(c1, c2, mask) for (c1, c2, *_), mask in zip(held, masks([x[2:] for x in held])) if mask] if held else []
+            found = zip(held, masks([x[1:] for x in held.values()])) if held else ()
+            return [(c1, c2, mask << held[c1, c2, shift][0]) for (c1, c2, shift), mask in found if mask]
 
         def pack(rows):
             return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], [], []))], names=["c1", "c2", "mask"])
 
         for batch in batches:
             out = []
-            for anchor, c1, c2, owner, left, windows, words in zip(*(batch.column(n).to_pylist() for n in ("anchor", "c1", "c2", "owner", "left", "windows", "words"))):
-                if anchor != now:
+            for group, c1, c2, shift, owner, left, windows, words in zip(*(batch.column(n).to_pylist() for n in ("group", "c1", "c2", "shift", "owner", "left", "windows", "words"))):
+                if group != now:
                     out += close()
-                    now, held = anchor, []
-                held.append((c1, c2, owner, left, windows, words.split()))
+                    now, held = group, {}
+                held[c1, c2, shift] = (shift, owner, left, windows, words.split())  # repeated rows bring the same again
             yield pack(out)
         yield pack(close())
 
     return parts.mapInArrow(run, schema)
 
 
-def leaves(parts: DataFrame, owner_type: T.DataType) -> DataFrame:
-    """The same for prefixes with too many contents: every window is a leaf; only the smallest owner of each is gathered."""
-    schema = T.StructType([T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()), T.StructField("owner", owner_type), T.StructField("bit", T.IntegerType()), T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType())])
+def lengthened(parts: DataFrame, length: int) -> DataFrame:
+    """The same windows by prefixes of `length` words: spans become shorter ones, in the columns of parts; `rest` tells whole windows apart."""
 
     def step(rows: dict) -> dict:
-        out: list[list] = [[] for _ in range(5)]
-        for c1, c2, owner, windows, text in zip(rows["c1"], rows["c2"], rows["owner"], rows["windows"], rows["words"]):
+        out: dict[str, list] = {n: [] for n in schema.names}
+        for c1, c2, shift, owner, left, windows, text in zip(*(rows[n] for n in ("c1", "c2", "shift", "owner", "left", "windows", "words"))):
             words = text.split()
-            for t in range(windows):
-                for column, x in zip(out, (c1, c2, owner, t, xxhash.xxh3_128_digest(b" ".join(words[t : t + WINDOW])))):
-                    column.append(x)
-        both = np.frombuffer(b"".join(out[4]), np.int64).reshape(-1, 2)
-        return dict(zip(schema.names, [*out[:4], both[:, 0], both[:, 1]]))
-
-    each = map_arrow(parts, step, schema, "words")
-    least = each.groupBy("w1", "w2").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).where("least < most").drop("most")
-    return each.join(least, ["w1", "w2"]).where("owner > least").groupBy("c1", "c2").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
-
-
-def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
-    """_key and _spans, an array of (first, mask): windows first + i of the row go where bit i of the mask is set."""
-    docs = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
-    found = stash(spans(df, key, text), "spans")
-    by_anchor = found.groupBy("anchor").agg(F.min("c1").alias("low"), F.max("c1").alias("high"), F.min("_key").alias("owner"), F.max("_key").alias("most"))
+            together = max(0, left - (WINDOW - length))  # the first window whose right part is long enough
+            pieces = [(t, t + 1, max(0, left + WINDOW - (left - t) - length), left - t) for t in range(min(together, windows))]
+            if together < windows:
+                pieces.append((together, windows, left, WINDOW))
+            for first, end, start, tag in pieces:
+                prefix = b" ".join(words[start : start + length]) + b" %d" % tag
+                group, rest = np.frombuffer(xxhash.xxh3_128_digest(prefix), np.int64).tolist()
+                body = b"" if length == WINDOW else b" ".join(words[first : end + WINDOW - 1])
+                for n, x in zip(schema.names, (group, rest, c1, c2, shift + first, owner, left - first, end - first, body)):
+                    out[n].append(x)
+        return out
+
+    schema = T.StructType([T.StructField("group", T.LongType()), T.StructField("rest", T.LongType()), *(parts.schema[n] for n in ("c1", "c2", "shift", "owner", "left", "windows", "words"))])
+    return map_arrow(parts, step, schema, "words", 1 << 17)
+
+
+def nodes(windows: DataFrame) -> DataFrame:
+    """(c1, c2, mask) of windows whose group is one node, of which a smaller owner has a window too."""
+    least = windows.groupBy("group", "rest").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).where("least < most").drop("most")
+    # Written, so that the join shuffles both sides anew and can split a frequent window.
+    gone = windows.join(stash(least, "nodes"), ["group", "rest"]).where("owner > least")
+    return gone.select("c1", "c2", F.expr("shiftleft(1L, cast(shift as int))").alias("mask"))
+
+
+def lost_windows(parts: DataFrame, group: int = GROUP) -> DataFrame:
+    """(c1, c2, mask) of the spans in parts (group, size, ...) that lose windows to a smaller owner."""
+    lost = []
+    for length in LENGTHS:
+        fitting = parts.where(F.col("size") <= group).repartition("group").sortWithinPartitions("group")
+        lost.append(subtrees(fitting))
+        large = parts.where(F.col("size") > group)
+        if not large.head(1):
+            break
+        longer = stash(lengthened(large, length), "longer")
+        if length == WINDOW:
+            lost.append(nodes(longer))
+        else:
+            sizes = stash(longer.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")  # as above
+            parts = longer.join(sizes, "group")
+    whole = lost[0]
+    for x in lost[1:]:
+        whole = whole.union(x)
+    return whole.groupBy("c1", "c2").agg(F.expr("bit_or(mask)").alias("mask"))
+
+
+def repeats(rows: DataFrame, group: int = GROUP) -> DataFrame:
+    """key, hash and spans, an array of (first, mask): windows first + i of the text go where bit i of the mask is set.
+
+    rows: key, hash (of the text) and text, without null keys.
+    """
+    found = stash(spans(rows), "spans")
+    by_anchor = found.groupBy("anchor").agg(F.min("c1").alias("low"), F.max("c1").alias("high"), F.min("key").alias("owner"), F.max("key").alias("most"))
     # Written, so that the join below shuffles both sides anew and can split a frequent anchor.
     known = stash(by_anchor.where("owner < most").select("anchor", (F.col("low") == F.col("high")).alias("plain"), "owner"), "anchors")
     hits = stash(found.join(known, "anchor"), "hits")
-    # Equal contents: the smallest key owns them.
-    contents = hits.where("not plain").groupBy("c1", "c2").agg(F.min(F.struct("_key", "first")).alias("own"), F.min("anchor").alias("anchor"), F.min("left").alias("left"), F.min("windows").alias("windows"))
-    contents = stash(contents.select("c1", "c2", F.col("own._key").alias("owner"), F.col("own.first").alias("first"), "anchor", "left", "windows"), "contents")
+    # Equal spans are one leaf: the smallest key owns them.
+    contents = hits.where("not plain").groupBy("c1", "c2").agg(F.min(F.struct("key", "hash", "first")).alias("own"), F.min("anchor").alias("anchor"), F.min("left").alias("left"), F.min("windows").alias("windows"))
+    contents = stash(contents.select("c1", "c2", F.col("own.key").alias("owner"), F.col("own.hash").alias("owner_hash"), F.col("own.first").alias("first"), "anchor", "left", "windows"), "contents")
     sizes = stash(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")  # as above
-    wanted = contents.join(sizes, "anchor").groupBy("owner").agg(F.collect_list(F.struct("first", "anchor", "left", "windows", "c1", "c2", "size")).alias("wanted"))
-    parts = stash(_words_of(docs.join(wanted, F.col("_doc") == F.col("owner")), df.schema[key].dataType), "parts")
-    in_memory = parts.where(F.col("size") <= group).repartition("anchor").sortWithinPartitions("anchor")
-    lost = subtrees(in_memory).union(leaves(parts.where(F.col("size") > group), df.schema[key].dataType))
-    owned = stash(contents.join(lost, ["c1", "c2"], "left").select("c1", "c2", F.col("owner").alias("first_owner"), "mask"), "owned")  # as above
+    wanted = contents.join(sizes, "anchor").groupBy("owner", "owner_hash").agg(F.collect_list(F.struct("first", "anchor", "left", "windows", "c1", "c2", "size")).alias("wanted"))
+    parts = stash(_words_of(rows.join(wanted, (F.col("key") == F.col("owner")) & (F.col("hash") == F.col("owner_hash")))), "parts")
+    owned = contents.join(lost_windows(parts, group), ["c1", "c2"], "left").select("c1", "c2", F.col("owner").alias("first_owner"), "mask")
+    owned = stash(owned, "owned")  # as above
     whole = F.expr("shiftleft(1L, windows) - 1")
-    plain = hits.where("plain and _key > owner").select("_key", "first", whole.alias("mask"))
-    rest = hits.where("not plain").join(owned, ["c1", "c2"]).select("_key", "first", F.when(F.col("_key") > F.col("first_owner"), whole).otherwise(F.col("mask")).alias("mask"))
-    return plain.union(rest.where("mask <> 0")).groupBy("_key").agg(F.collect_list(F.struct("first", "mask")).alias("_spans"))
+    plain = hits.where("plain and key > owner").select("key", "hash", "first", whole.alias("mask"))
+    rest = hits.where("not plain").join(owned, ["c1", "c2"]).select("key", "hash", "first", F.when(F.col("key") > F.col("first_owner"), whole).otherwise(F.col("mask")).alias("mask"))
+    return plain.union(rest.where("mask <> 0")).groupBy("key", "hash").agg(F.collect_set(F.struct("first", "mask")).alias("spans"))
 
 
-def _words_of(joined: DataFrame, owner_type: T.DataType) -> DataFrame:
-    """The words of the wanted spans; texts of a repeated key that don't hold a span's content give nothing."""
-    names = ["anchor", "c1", "c2", "left", "windows", "size"]
-    schema = T.StructType([*(T.StructField(n, T.LongType()) for n in names), T.StructField("owner", owner_type), T.StructField("words", T.BinaryType())])
+def _words_of(joined: DataFrame) -> DataFrame:
+    """The words of the wanted spans."""
+    names = ["c1", "c2", "left", "windows", "size"]
+    schema = T.StructType([T.StructField("group", T.LongType()), T.StructField("shift", T.LongType()), *(T.StructField(n, T.LongType()) for n in names), T.StructField("owner", joined.schema["owner"].dataType), T.StructField("words", T.BinaryType())])
 
     def step(rows: dict) -> dict:
         out: dict[str, list] = {n: [] for n in schema.names}
-        for owner, text, wanted in zip(rows["owner"], rows["_text"], rows["wanted"]):
+        for owner, text, wanted in zip(rows["owner"], rows["text"], rows["wanted"]):
             words = ascii_words(text)
             for x in wanted:
-                part = b" ".join(words[x["first"] : x["first"] + x["windows"] + WINDOW - 1])
-                if xxhash.xxh3_128_digest(part) == np.array([x["c1"], x["c2"]], np.int64).tobytes():
-                    for n in names:
-                        out[n].append(x[n])
-                    out["owner"].append(owner)
-                    out["words"].append(part)
+                for n in names:
+                    out[n].append(x[n])
+                out["group"].append(x["anchor"])
+                out["shift"].append(0)
+                out["owner"].append(owner)
+                out["words"].append(b" ".join(words[x["first"] : x["first"] + x["windows"] + WINDOW - 1]))
         return out
 
-    return map_arrow(joined.select("owner", "_text", "wanted"), step, schema, "_text")
+    return map_arrow(joined.select("owner", "text", "wanted"), step, schema, "text")
 
 
 def kept_words(text: str | None, gone: list[dict] | None) -> tuple[int, list[bytes]]:
@@ -261,8 +301,6 @@ def kept_words(text: str | None, gone: list[dict] | None) -> tuple[int, list[byt
         while mask:  # runs of set bits
             mask >>= low
             run = (~mask & (mask + 1)).bit_length() - 1
-            if first + low + run + WINDOW - 1 > len(words):
-                break  # a span of another text with this key
             change[first + low] += 1
             change[first + low + run + WINDOW - 1] -= 1
             mask >>= run
@@ -278,20 +316,24 @@ def strip(df: DataFrame, key: str = "doc_id", text: str = "text", digest: bool =
     With digest: key, n_words, n_removed, kept_sha256. Without: df with text replaced where words went;
     other texts stay as they are.
     """
-    gone = repeats(df, key, text).toDF("__key", "__spans")
-    named, unnamed = df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull())
-    columns = [key, text] if digest else df.columns
-    rows = named.select(*columns).join(gone, F.col(key) == F.col("__key"), "left").select(*columns, "__spans")
-    rows = rows.unionByName(unnamed.select(*columns, F.lit(None).cast(rows.schema["__spans"].dataType).alias("__spans")))
+    names = [f"c{i}" for i in range(len(df.columns))]
+    own, body = (names[df.columns.index(x)] for x in (key, text))
+    plain = df.toDF(*names).select(*([own, body] if digest else names)).withColumns({"key": F.col(own), "hash": F.xxhash64(body)})
+    with temporary() as keep:
+        gone = keep(repeats(plain.where("key is not null").select("key", "hash", F.col(body).alias("text"))), "gone")
+    columns = plain.columns[:-2]
+    # A null key equals nothing, so such rows come without spans; dealt by their hash, they are not one hot key.
+    rows = plain.join(gone, ["key", "hash"], "left").select(*columns, "spans")
     if digest:
         schema = T.StructType([df.schema[key], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     else:
-        schema = df.schema
+        schema = plain.select(*columns).schema
 
     def step(values: dict) -> dict:
-        kept = [kept_words(t, g) for t, g in zip(values[text], values["__spans"])]
+        kept = [kept_words(t, g) for t, g in zip(values[body], values["spans"])]
         if not digest:
-            return {c: values[c] for c in columns} | {text: [b" ".join(w).decode() if n > len(w) else t for t, (n, w) in zip(values[text], kept)]}
-        return {key: values[key], "n_words": [n for n, _ in kept], "n_removed": [n - len(w) for n, w in kept], "kept_sha256": [hashlib.sha256(b" ".join(w)).hexdigest() for _, w in kept]}
+            return {c: values[c] for c in columns} | {body: [b" ".join(w).decode() if n > len(w) else t for t, (n, w) in zip(values[body], kept)]}
+        return {key: values[own], "n_words": [n for n, _ in kept], "n_removed": [n - len(w) for n, w in kept], "kept_sha256": [hashlib.sha256(b" ".join(w)).hexdigest() for _, w in kept]}
 
-    return map_arrow(rows, step, schema, text)
+    done = map_arrow(rows, step, schema, body)
+    return done if digest else done.toDF(*df.columns)

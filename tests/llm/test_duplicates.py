@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from gridlark.llm import embedding, graph, simhash, substring
 
@@ -61,8 +62,6 @@ def test_simhash_classes(docs, no_docs):
     least = {r: min((ROWS[i][0] for i in range(n) if roots[i] == r and ROWS[i][0] is not None), default=None) for r in roots}
     assert sorted((str(r.doc_id), r.component_id) for r in got) == sorted((str(ROWS[i][0]), least[roots[i]]) for i in range(n))
     assert simhash.classes(no_docs).count() == 0
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({x for x in least.values() if x is not None})
 
 
 @pytest.mark.parametrize("array", [4096, 2])
@@ -111,28 +110,53 @@ def passages(seed, n=60):
     return [*rows, (n, "same " * 200, "en"), (n + 1, "other " + "same " * 150, "en")]
 
 
-@pytest.mark.parametrize("group", [20_000, 2, 0])
-def test_repeated_passages(spark, docs, group):
-    for rows, df in ((ROWS, docs), (passages(3), None)):
-        if df is None:
-            df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-        gone = substring.repeats(df, group=group)
-        got = df.join(gone, df.doc_id == gone._key, "left").collect()
-        found = []
-        for r in got:
-            n, kept = substring.kept_words(r.text, r._spans)
-            found.append((str(r.doc_id), n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-        assert sorted(found) == slow_strip(rows)
+def stripped(df):
+    return sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring.strip(df, digest=True).collect())
+
+
+@pytest.mark.parametrize("group", [20_000, 8, 2, 0])
+def test_repeated_passages(spark, docs, monkeypatch, group):
+    """Also where prefixes are made longer, up to whole windows."""
+    monkeypatch.setattr(substring.lost_windows, "__defaults__", (group,))
+    monkeypatch.setattr(substring.repeats, "__defaults__", (group,))
+    passage = [f"s{i}" for i in range(66)]
+    spread = [(1000 + k, " ".join([f"a{k}x{i}" for i in range(k % 60)] + passage[k % 9 :] + [f"b{k}x{i}" for i in range(40)]), "en") for k in range(80)]
+    assert stripped(docs) == slow_strip(ROWS)
+    for rows in (passages(3), spread):
+        assert stripped(spark.createDataFrame(rows, "doc_id long, text string, lang string")) == slow_strip(rows)
+
+
+def test_repeated_keys_lose_their_own_words_only(spark):
+    p = " ".join(f"p{i}" for i in range(60))
+    own = " ".join(f"u{i}" for i in range(80))
+    rows = [(1, p), (5, p + " x y z"), (5, own), (5, own), (6, own), (5, own + " " + p), (2, p), (2, p)]
+    assert stripped(spark.createDataFrame(rows, "doc_id long, text string")) == slow_strip(rows)
+
+
+def test_a_very_long_text(spark):
+    """Longer than a step's characters, with a passage at its end that a smaller key has."""
+    draw = random.Random(1)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(200_000)]
+    rows = [(1, " ".join(words[-70:])), (2, " ".join(words)), (3, " ".join(words[1000:1100]))]
+    assert len(rows[1][1]) > 1 << 20
+    got = {r[0]: r[1:3] for r in stripped(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert got == {"1": (70, 0), "2": (200_000, 70), "3": (100, 100)}
 
 
 def test_strip(docs, no_docs):
-    got = substring.strip(docs, digest=True).collect()
-    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == slow_strip(ROWS)
+    assert stripped(docs) == slow_strip(ROWS)
     changed = substring.strip(docs)
     assert changed.columns == docs.columns and changed.count() == len(ROWS)
     assert substring.strip(no_docs, digest=True).count() == 0
 
 
+def test_strip_keeps_columns_of_any_name(docs):
+    names = ["spans", "key", "hash", "c1", "__spans"]
+    more = docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    got = substring.strip(more)
+    assert got.columns == more.columns and {tuple(r[-5:]) for r in got.collect()} == {(0, 1, 2, 3, 4)}
+
+
 def cloud(seed, n, dims=8):
     draw = np.random.default_rng(seed)
     base = draw.normal(size=(n, dims))
@@ -163,6 +187,35 @@ def test_embedding_links(spark, monkeypatch):
     assert embedding.classes(df.where("1 = 0")).count() == 0
 
 
+def test_vectors_of_one_direction(spark, monkeypatch):
+    """More multiples of one vector, and more vectors in a tiny ball, than a cell holds; rows without a key."""
+    monkeypatch.setattr(embedding, "CELL", 64)
+    draw = np.random.default_rng(3)
+    rows = [(k, [float(k + 1), 0.0, 0.0], "x") for k in range(300)] + [(300 + k, [0.0, 3.0 * (k + 1), 7.0 * (k + 1)], "x") for k in range(200)]
+    rows += [(500 + k, (np.array([1.0, 1.0, -1.0]) + draw.normal(size=3) * 1e-9).tolist(), "x") for k in range(300)]
+    rows += [(None, [0.0, 0.0, 1.0], "y"), (None, [0.0, 0.0, 2.0], "y"), (None, None, "y")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in embedding.classes(df).collect())
+    want = [(str(k), n - 1, a, k == a) for a, n in ((0, 300), (300, 200), (500, 300)) for k in range(a, a + n)]
+    assert got == sorted([*want, ("None", 1, None, True), ("None", 1, None, True), ("None", 0, None, True)])
+
+
+def test_pairs_at_the_bound(spark, monkeypatch):
+    """Links at cosines within some 1e-9 of the bound on either side, each decided by its dot product."""
+    monkeypatch.setattr(embedding, "CELL", 32)
+    draw, rows = np.random.default_rng(9), []
+    for i in range(150):
+        a = embedding.unit(draw.normal(size=(1, 16)))[0]
+        b = draw.normal(size=16)
+        b -= (a @ b) * a
+        c = 0.98 + draw.choice([-1, 1]) * 10.0 ** draw.uniform(-12, -8)
+        rows += [(2 * i, a.tolist(), "x"), (2 * i + 1, (c * a + (1 - c * c) ** 0.5 * b / np.linalg.norm(b)).tolist(), "x")]
+    points = embedding.unit(np.array([r[1] for r in rows]))
+    want = ((points @ points.T) >= 0.98).sum(1) - 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert {r.vec_id: r.n_links for r in embedding.classes(df).collect()} == dict(enumerate(want.tolist()))
+
+
 def test_cover_tree_covers():
     points = embedding.unit(cloud(6, 500))
     tree = embedding.CoverTree(points)
