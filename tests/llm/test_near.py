@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridlark.llm import near, simhash
@@ -45,9 +47,11 @@ def keys_kept(spark, rows):
     return [(r.doc_id, r.text) for r in kept.collect()]
 
 
-@pytest.mark.parametrize("pairs", [64, 2])
-def test_all_near_copies_link(spark, monkeypatch, pairs):
-    monkeypatch.setattr(near, "PAIRS", pairs)
+@pytest.mark.parametrize(("pairs", "often", "block"), [(64, 16, 1 << 19), (2, 1, 200)])
+def test_all_near_copies_link(spark, monkeypatch, pairs, often, block):
+    """Also where all meetings are groups, shingles count as common at once, and blocks hold few sets."""
+    for name, value in (("PAIRS", pairs), ("OFTEN", often), ("BLOCK", block), ("SAMPLE", 2)):
+        monkeypatch.setattr(near, name, value)
     texts = edited()
     got = keys_kept(spark, [(i, t, "x") for i, t in enumerate(texts)])
     assert sorted(k for k, _ in got) == sorted(set(classes(texts)))
@@ -69,6 +73,13 @@ def test_less_similar_texts_stay(spark):
     assert sorted(k for k, _ in keys_kept(spark, [(i, t, "x") for i, t in enumerate(texts)])) == list(range(8))
 
 
+def test_meetings_of_many_nodes_stream():
+    rows = np.array([[7] * 500 + [9] * 3, list(range(503)), list(range(503)), [10] * 503])
+    batches = [pa.record_batch([pa.array(x) for x in rows[:, i : i + 40]], names=list("gapn")) for i in range(0, 503, 40)]
+    found = {(a, b, g) for batch in near._meetings(iter(batches), 8) for a, b, g in zip(*(c.to_pylist() for c in batch.columns))}
+    assert found == {(i, 0, True) for i in range(1, 500)} | {(501, 500, False), (502, 500, False), (502, 501, False)}
+
+
 def test_rows_without_key(spark):
     alone, null_class, mixed = ("a row without a key and no copy", "two rows without a key are copies", "a null and a key are copies here")
     got = keys_kept(spark, [(None, alone, "x"), (None, null_class, "x"), (None, null_class, "x"), (None, mixed, "x"), (7, mixed, "x")])

@@ -9,7 +9,7 @@ pytest.importorskip("corpus_pipeline")
 import corpus_pipeline  # noqa: E402
 from gridlark.llm import pii  # noqa: E402
 
-from .test_duplicates import slow_fingerprint, union  # noqa: E402
+from .test_near import classes  # noqa: E402
 from .test_quality import counts  # noqa: E402
 
 
@@ -21,7 +21,7 @@ def corpus(spark, tmp_path_factory):
     rows = [(i, " ".join(draw.choices(words, k=draw.randint(30, 300))), "en") for i in range(60)]
     rows += [(100 + i, rows[i][1], "en") for i in range(10)]
     rows += [(200 + i, f"{rows[20 + i][1]} {passage} end{i}", "en") for i in range(5)]
-    rows += [(300, "too short", "en"), (301, None, None), (302, "r " * 200, "en"), (303, rows[40][1] + " write to a.b@example.com now", "en")]
+    rows += [(300, "too short", "en"), (301, None, None), (302, "r " * 200, "en"), (303, rows[40][1] + " write to a.b@example.com now", "en"), (304, " ".join(f"own{i}" for i in range(40)) + " write to a.b@example.com now", "en")]
     rows = [(k, t, lang, "s", None if t is None else len(t)) for k, t, lang in rows]
     folder = tmp_path_factory.mktemp("corpus")
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
@@ -36,8 +36,7 @@ def brute(rows):
         n, _, _, _, repeated = counts(t)
         if n >= 10 and 100 * repeated <= 20 * n:
             kept.append((k, t))
-    prints = [slow_fingerprint(t) for _, t in kept]
-    roots = union(len(kept), [(i, j) for i in range(len(kept)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= corpus_pipeline.NEAR])
+    roots = classes([t for _, t in kept])
     least = {}
     for (k, _), r in zip(kept, roots):
         least[r] = min(least.get(r, k), k)
@@ -65,7 +64,7 @@ def test_stages(spark, corpus, tmp_path):
     got = {r.doc_id: (r.text, r.n_chars) for r in docs.collect()}
     want = brute(rows)
     assert {k: t for k, (t, _) in got.items()} == want and all(n == len(t) for t, n in got.values())
-    assert 303 in want and "<EMAIL>" in want[303] and not {100, 300, 301, 302} & set(want)
+    assert 304 in want and "<EMAIL>" in want[304] and not {100, 300, 301, 302, 303} & set(want)
 
 
 def test_run(spark, corpus):
