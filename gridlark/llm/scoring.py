@@ -39,7 +39,7 @@ PRIORS = (300.0, 30.0, 10.0)
 #: Bytes of text per block and of input per bucket; most partitions, each of which works through its buckets in turn.
 BLOCK_BYTES, BUCKET_BYTES, PARTITIONS = 8 << 20, 8 << 20, 20_000
 #: Bits of an n-gram's hash beyond those that number the input's bytes.
-SLACK = 19
+SLACK = 16
 #: Hashes of the end token and of the start context; words hash elsewhere but for a chance of 2^-64.
 END, START = np.uint64(1), np.uint64(2)
 

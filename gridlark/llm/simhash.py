@@ -95,7 +95,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, array: int = ARRAY, whole:
     keyed = distinct.select("fp", F.explode(tables).alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Written, so that the join shuffles both sides anew and can split a large bucket.
-    members = keyed.join(stash(sizes, "sizes"), "bucket")
+    members = keyed.join(stash(sizes, "sizes").hint("merge"), "bucket")
     if not whole:
         members = members.withColumn("part", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / F.lit(array)))).select("fp", F.xxhash64("bucket", "part").alias("bucket"), F.lit(0).alias("n"))
     arrays = members.where(F.col("n") <= array).groupBy("bucket").agg(F.collect_list("fp").alias("fps")).select("fps")
@@ -137,4 +137,4 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int
         # Written, so that the joins shuffle both sides anew and can split a large class and a frequent fingerprint.
         smallest = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
         found = keep(rooted.join(smallest, "root").select("fp", "component_id"), "found")
-    return marked.join(found, "fp").select(key, "fp", "component_id")
+    return marked.join(found.hint("merge"), "fp").select(key, "fp", "component_id")

@@ -37,7 +37,7 @@ WINDOW, PREFIX = 50, 8
 #: Longer prefixes, each tried where the one before leaves too many leaves together.
 LENGTHS = (16, 32, WINDOW)
 #: Leaves of a group that one task holds as a subtree (about 600 bytes each); few, so that groups spread evenly.
-GROUP = 256
+GROUP = 128
 _SLOTS = WINDOW - PREFIX + 1
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD)]
 
@@ -323,7 +323,7 @@ def strip(df: DataFrame, key: str = "doc_id", text: str = "text", digest: bool =
         gone = keep(repeats(plain.where("key is not null").select("key", "hash", F.col(body).alias("text"))), "gone")
     columns = plain.columns[:-2]
     # A null key equals nothing, so such rows come without spans; dealt by their hash, they are not one hot key.
-    rows = plain.join(gone, ["key", "hash"], "left").select(*columns, "spans")
+    rows = plain.join(gone.hint("merge"), ["key", "hash"], "left").select(*columns, "spans")
     if digest:
         schema = T.StructType([df.schema[key], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     else:

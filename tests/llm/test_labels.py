@@ -1,10 +1,13 @@
 """Toxicity and personal data."""
 
+import math
 import random
 import re
 import time
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gridlark.llm import pii, toxicity
@@ -30,6 +33,57 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.predicted == (r.doc_id % 3 == 0) for r in held) >= 0.97 * len(held)
 
 
+def slow_features(text):
+    """The distinct n-grams of the words between their edges, hashed."""
+    out = set()
+    for w in (text or "").lower().split():
+        s = f"<{w.strip(toxicity._EDGES)}>"
+        out |= {xxhash.xxh3_64_intdigest(s[i : i + n]) % 2**toxicity.BITS for n in range(3, 7) for i in range(len(s) - n + 1)}
+    return out
+
+
+def slow_scores(train, labels, texts):
+    """Ratios, regression and scores over a dense matrix, feature by feature."""
+    rows, y = [slow_features(t) for t in train], np.array(labels, float)
+    n, n1 = len(y), y.sum()
+    ratios = {}
+    for f in sorted(set().union(*rows)):
+        there = np.array([f in r for r in rows])
+        a, b = (there & (y == 1)).sum(), (there & (y == 0)).sum()
+        ratio = math.log((a + 1) / (n1 + 2)) - math.log((b + 1) / (n - n1 + 2))
+        if a + b >= 5 and abs(ratio) > 1.5:
+            ratios[f] = ratio
+    x = np.array([[ratios[f] * (f in r) for f in ratios] for r in rows])
+    share = np.where(y == 1, n / (2 * n1), n / (2 * (n - n1)))
+    weights, bias = np.zeros(len(ratios)), 0.0
+    moments = np.zeros((2, len(ratios) + 1))
+    for step in range(1, 151):
+        p = 1 / (1 + np.exp(-(x @ weights + bias)))
+        slope = np.append(x.T @ (share * (p - y)) / n + 5 * weights / n, (share * (p - y)).mean())
+        moments[0] = 0.9 * moments[0] + 0.1 * slope
+        moments[1] = 0.999 * moments[1] + 0.001 * slope**2
+        change = 0.05 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-8)
+        weights, bias = weights - change[:-1], bias - change[-1]
+    scaled = dict(zip(ratios, weights * np.array(list(ratios.values()))))
+    return [1 / (1 + math.exp(-(bias + sum(scaled.get(f, 0.0) for f in slow_features(t))))) for t in texts]
+
+
+def test_toxicity_like_brute_force(spark):
+    """Learnt from the rows that aren't held out, one text a key, labels of a key joined; scores of all rows, whole texts."""
+    draw = random.Random(8)
+    rows = []
+    for i in range(160):
+        words = [draw.choice(["river", "table", "green", "walks", "seven", "under"]) + draw.choice("aeiou") for _ in range(draw.randint(0, 12))]
+        rows.append((i, " ".join([*words, "vile" + draw.choice("xyz")] if i % 4 == 0 else words), int(i % 4 == 0)))
+    rows += [(160, None, 0), (161, "", 1), (162, "VILEX, [greena]!", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = df.select("doc_id", "toxic").union(spark.createDataFrame([(1, 0), (1, 1), (None, 1)], "doc_id long, toxic int"))
+    got = toxicity.classify(df.select("doc_id", "text"), labels, F.col("doc_id") % 5 == 0).collect()
+    train = [(t, 1 if k == 1 else y) for k, t, y in rows if y is not None and k % 5]
+    want = dict(zip([r[0] for r in rows], slow_scores(*zip(*train), [r[1] for r in rows])))
+    assert len(got) == len(rows) and all(abs(r.score - want[r.doc_id]) < 1e-6 for r in got)
+
+
 def test_toxicity_without_labels(docs, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.classify(docs, none, F.lit(False)).collect()

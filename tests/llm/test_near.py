@@ -47,7 +47,7 @@ def keys_kept(spark, rows):
     return [(r.doc_id, r.text) for r in kept.collect()]
 
 
-@pytest.mark.parametrize(("pairs", "often", "block"), [(64, 16, 1 << 19), (2, 1, 200)])
+@pytest.mark.parametrize(("pairs", "often", "block"), [(64, 16, 1 << 16), (2, 1, 200)])
 def test_all_near_copies_link(spark, monkeypatch, pairs, often, block):
     """Also where all meetings are groups, shingles count as common at once, and blocks hold few sets."""
     for name, value in (("PAIRS", pairs), ("OFTEN", often), ("BLOCK", block), ("SAMPLE", 2)):
@@ -76,7 +76,7 @@ def test_less_similar_texts_stay(spark):
 def test_meetings_of_many_nodes_stream():
     rows = np.array([[7] * 500 + [9] * 3, list(range(503)), list(range(503)), [10] * 503])
     batches = [pa.record_batch([pa.array(x) for x in rows[:, i : i + 40]], names=list("gapn")) for i in range(0, 503, 40)]
-    found = {(a, b, g) for batch in near._meetings(iter(batches), 8) for a, b, g in zip(*(c.to_pylist() for c in batch.columns))}
+    found = {(a, b, g) for batch in near._meetings(iter(batches), 8) for a, b, _, _, g in zip(*(c.to_pylist() for c in batch.columns))}
     assert found == {(i, 0, True) for i in range(1, 500)} | {(501, 500, False), (502, 500, False), (502, 501, False)}
 
 
