@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import asyncio
 import datetime as dt
-from collections.abc import Iterator
+from collections.abc import AsyncIterator, Iterator
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import QueryError, RangeTooLarge, SheetNotFound
+from .functions.kinds import Value
 from .plans import execute as plan
 from .plans.address import MAX_CELLS, Range, parse_cell, parse_range
 from .plans.ast import Agg, Binary, Col, Expr, Header, Lit, QuerySpec, Selection, key
@@ -57,12 +59,16 @@ class Workbook:
         return cls(spark, [table_sheet(n, df) for n, df in frames.items()])
 
     @classmethod
-    def open(cls, spark: SparkSession, source: str | bytes, mode: str = "values") -> Workbook:
-        """An xlsx, xlsm or xlsb file: a path that Spark can read, or the bytes."""
+    def open(cls, spark: SparkSession, source: str | bytes | DataFrame, mode: str = "values") -> Workbook:
+        """An xlsx, xlsm or xlsb file: a path that Spark can read, the bytes, or a relation (workbook, content)."""
         from .sources.workbook import open_workbook
 
         return open_workbook(cls, spark, source, mode)
 
+    @classmethod
+    async def open_async(cls, spark: SparkSession, source: str | bytes | DataFrame, mode: str = "values") -> Workbook:
+        return await asyncio.to_thread(cls.open, spark, source, mode)
+
     @property
     def sheet_names(self) -> list[str]:
         return [s.name for s in self.sheets]
@@ -91,16 +97,25 @@ class Workbook:
         found = self.sheet(sheet)
         if found.names is not None and row == 1:
             return found.names[column - 1] if column <= found.width else None
-        found_rows = found.df.where(F.col(ROW) == row).select(found.value(column).col.alias("v")).limit(1).collect()
+        found_rows = found.narrowed([column]).df.where(F.col(ROW) == row).select(found.value(column).col.alias("v")).limit(1).collect()
         return plain(found_rows[0][0]) if found_rows else None
 
     def read_range(self, sheet: str, area: str | Range) -> DataFrame:
-        """The dense rectangle: every row of the range, absent ones with empty cells."""
+        """The dense rectangle: every row of the range, absent ones with empty cells.
+
+        A table's header stands in row 1; a range with that row has cells, since it holds text over other kinds.
+        """
         found, area = self.sheet(sheet), parse_range(area) if isinstance(area, str) else area
         if area.unbounded or area.width * area.height > MAX_CELLS:
             raise RangeTooLarge(f"{area} has too many cells.")
-        columns = [found.value(c).col.alias(physical(c)) for c in range(area.left, area.right + 1)]
-        present = found.rows(area).select(ROW, *columns)
+        numbers = range(area.left, area.right + 1)
+        found = found.narrowed(list(numbers))
+        if found.names is not None and area.top == 1:
+            present = found.rows(area).select(ROW, *(found.value(c).cell.alias(physical(c)) for c in numbers))
+            head = [Value("text", F.lit(found.names[c - 1])) if c <= found.width else Value("empty", F.lit(None)) for c in numbers]
+            present = present.union(self.spark.range(1, 2).select("id", *(v.cell for v in head)))
+        else:
+            present = found.rows(area).select(ROW, *(found.value(c).col.alias(physical(c)) for c in numbers))
         every = self.spark.range(area.top, area.bottom + 1).select(F.col("id").alias(ROW))
         return every.join(present, ROW, "left").orderBy(ROW)
 
@@ -108,6 +123,12 @@ class Workbook:
         """(row number, values) of the present rows, in order, one partition at a time."""
         return rows(self.sheet(sheet), parse_range(area) if isinstance(area, str) else area)
 
+    async def stream_rows_async(self, sheet: str, area: str | Range = ":") -> AsyncIterator[tuple[int, list]]:
+        """The same without holding up the event loop; at most one partition is read ahead."""
+        found, end = self.stream_rows(sheet, area), object()
+        while (row := await asyncio.to_thread(next, found, end)) is not end:
+            yield row
+
     def query_range(self, sheet: str, area: str, header_row: int = 0) -> SheetQuery:
         spec = QuerySpec(self.sheet(sheet).name, parse_range(area), Header("row", header_row), select_all=True, simple=True)
         if header_row > spec.range.bottom:
@@ -119,6 +140,9 @@ class Workbook:
         sheet = self.sheet(spec.sheet)
         return plan.execute(sheet, spec, self._header_row(sheet, spec), ordered)
 
+    async def execute_query_async(self, query: str | QuerySpec, ordered: bool = True) -> plan.Result:
+        return await asyncio.to_thread(self.execute_query, query, ordered)
+
     def _header_row(self, sheet: Sheet, spec: QuerySpec) -> int:
         if spec.header.kind == "column":
             raise NotImplementedError("HEADER COLUMN can be parsed but not run.")
@@ -213,6 +237,9 @@ class SheetQuery:
         spec = self.build()
         return plan.execute(self.workbook.sheet(spec.sheet), spec, spec.header.row, ordered)
 
+    async def execute_async(self, ordered: bool = True) -> plan.Result:
+        return await asyncio.to_thread(self.execute, ordered)
+
     def distinct_values(self, column: str, top: int = 100) -> DataFrame:
         if self.spec.order_by is not None:
             raise QueryError("Distinct values have their own order.")

@@ -151,29 +151,33 @@ def steady(values: Iterable[float | None]) -> int:
 
 def matrices(g: Grid) -> list[Field]:
     """Blocks between a row and a column of evenly spaced coordinates, below a title or a gap."""
+    figures = np.where(g.kind == FIGURE, g.number, np.nan)
+    first, second = np.diff(figures, axis=1)[:, :-1], np.diff(figures, axis=1)[:, 1:]
+    even = (np.sign(first) * np.sign(second) > 0) & (np.abs(second - first) <= np.maximum(np.abs(first) * 0.05, 1e-9))
     out: list[Field] = []
-    for row in g.rows:
-        column = g.left
-        while column <= g.right:
-            if steady(g.figure(row, column + i) for i in range(3)) < 3 or (seed := coordinate_start(g, row, column - 1)) == 0:
-                column += 1
-                continue
-            width = steady(g.figure(row, c) for c in range(column, g.right + 1))
-            right = column + width - 1
-            height = steady(g.figure(r, column - 1) for r in range(seed, g.rows[-1] + 1))
-            found = Field(seed, seed + height - 1, column, right, row, column, right)
-            under = g.heads_run(row - 1, column, right) or g.count("measure", row - 1, row - 1, column - 1, right) > 0
-            full = g.count("numeric", found.top, found.bottom, column, right) * 2 >= found.width * found.height
-            if height >= 3 and full and not under and not any(found.meets(o) for o in out):
-                out.append(found)
-                column = right + 1
-            else:
-                column += 1
+    done: dict[int, int] = {}  # by row, the last column of coordinates of a block
+    for i, j in np.argwhere(even).tolist():  # each place where two equal steps begin, row by row
+        row, column = g.rows[i], g.left + j
+        if done.get(row, 0) < column and (found := matrix(g, row, column)) and not any(found.meets(o) for o in out):
+            out.append(found)
+            done[row] = found.right
     return out
 
 
-def coordinate_start(g: Grid, row: int, column: int) -> int:
-    return next((r for r in range(row + 1, row + 1 + COORDINATE_ROWS) if g.figure(r, column) is not None), 0)
+def matrix(g: Grid, row: int, column: int) -> Field | None:
+    """The block whose upper coordinates start here, if it has a column of others to its left and is half full."""
+    last = g.rows[-1]
+    beside = [g.figure(r, column - 1) for r in range(row + 1, min(row + COORDINATE_ROWS, last) + 1)]
+    gap = next((i for i, v in enumerate(beside) if v is not None), None)
+    if gap is None:
+        return None
+    top = row + 1 + gap
+    height = steady(g.figure(r, column - 1) for r in range(top, last + 1))
+    right = column - 1 + steady(g.figure(row, c) for c in range(column, g.right + 1))
+    box = Field(top, top + height - 1, column, right, row, column, right)
+    crowned = g.heads_run(row - 1, column, right) or g.count("measure", row - 1, row - 1, column - 1, right)
+    filled = g.count("numeric", box.top, box.bottom, column, right)
+    return box if height >= 3 and not crowned and 2 * filled >= box.width * box.height else None
 
 
 def dense(g: Grid, blocks: list[Field]) -> list[Field]:

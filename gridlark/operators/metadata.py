@@ -38,6 +38,9 @@ def chart_items(p: Package, sheet: str, part: str) -> list[dict]:
 def related_items(p: Package, sheet: str, part: str) -> list[dict]:
     out = []
     for kind, target, external in p.relations(part).values():
+        if kind == "comments" and target.endswith(".bin") and not external:
+            out += [item(sheet, "comment", None, at, detail=words) for at, words in p.comments(target)]
+            continue
         tree = None if external else p.tree(target) if target.endswith((".xml", ".vml")) and kind != "vmlDrawing" else None
         if tree is None:
             continue
@@ -81,6 +84,16 @@ def workbook_items(p: Xlsx) -> list[dict]:
     return out
 
 
+def binary_items(p: Package) -> list[dict]:
+    out = [item(sheet, "name", name, shown or None) for name, sheet, shown in p.defined_names()]
+    for kind, target, external in p.relations(p.workbook_part).values():
+        if kind == "externalLink" and not external:
+            place = next((t for _, t, outside in p.relations(target).values() if outside), None)
+            sheets, names = p.external(target)
+            out.append(item(None, "link", posixpath.basename(target), place, sheets, ",".join(names) or None))
+    return out
+
+
 def items_of(content: bytes) -> list[dict]:
     p = open_package(content)
     out = []
@@ -88,8 +101,7 @@ def items_of(content: bytes) -> list[dict]:
         for kind, found in p.tail(sheet).items():
             out += [item(sheet, kind, x.get("type"), x.get("ref"), detail=x.get("target") or x.get("formula")) for x in found]
         out += related_items(p, sheet, part)
-    if isinstance(p, Xlsx):
-        out += workbook_items(p)
+    out += workbook_items(p) if isinstance(p, Xlsx) else binary_items(p)
     if p.has_macros:
         from ..sources.vba import project
 

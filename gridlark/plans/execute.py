@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import asyncio
+from dataclasses import dataclass, fields, is_dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ class Bound:
     rows: DataFrame
     columns: list[int]
     names: list[str]
+    top: int
 
     def position(self, name: str) -> int:
         """First exact match, else first one that differs in case."""
@@ -46,8 +48,11 @@ class Bound:
         return self.sheet.value(self.columns[self.position(name)])
 
 
-def bind(sheet: Sheet, area: Range, header_row: int) -> Bound | None:
-    """None if the area is empty and no header row was named."""
+def bind(sheet: Sheet, area: Range, header_row: int, like: Bound | None = None) -> Bound | None:
+    """None if the area is empty and no header row was named. like: of the same sheet, whose header is known."""
+    if like is not None:
+        rows = sheet.rows(replace(area, top=min(like.top, area.bottom + 1)))
+        return replace(like, sheet=sheet, rows=rows if like.top <= area.bottom else empty_of(rows))
     if header_row > area.bottom:
         raise ValueError("The header row lies below the range.")
     found = sheet.header_cells(area, header_row)
@@ -59,12 +64,32 @@ def bind(sheet: Sheet, area: Range, header_row: int) -> Bound | None:
     right = min(area.right, max(sheet.width, area.left)) if area.right - area.left > 4 * max(sheet.width, 16) else area.right
     columns = list(range(area.left, right + 1))
     names = [clean(cells[i]) if i < len(cells) and cells[i] and clean(cells[i]) else letters(c) for i, c in enumerate(columns)]
-    rows = sheet.rows(area if row < area.top else replace(area, top=min(row + 1, area.bottom + 1)))
-    if row >= area.bottom:
-        rows = rows.where(F.lit(False))
+    top = area.top if row < area.top else row + 1
+    rows = sheet.rows(replace(area, top=min(top, area.bottom + 1)))
+    if top > area.bottom:
+        rows = empty_of(rows)
     if sheet.names is not None:  # a table has its own columns only
         columns, names = [c for c in columns if c <= sheet.width], [n for n, c in zip(names, columns) if c <= sheet.width]
-    return Bound(sheet, area, rows, columns, names)
+    return Bound(sheet, area, rows, columns, names, top)
+
+
+def narrowed(bound: Bound, spec: QuerySpec) -> Bound:
+    """bound without the columns that the query doesn't name, where the source can leave them out."""
+    if bound.sheet.narrow is None or spec.select_all:
+        return bound
+    aliases = {s.alias.lower() for s in spec.selections if s.alias}
+    known = {n.lower() for n in bound.names}
+    used = {c.name for e in (spec.where, spec.having, spec.order_by, *spec.group_by, *(s.expr for s in spec.selections)) for c in columns_in(e) if c.name.lower() in known or c.name.lower() not in aliases}
+    sheet = bound.sheet.narrowed([bound.columns[bound.position(n)] for n in used])
+    return bind(sheet, bound.area, 0, bound)
+
+
+def columns_in(e) -> list[Col]:
+    if isinstance(e, Col):
+        return [e]
+    if isinstance(e, (tuple, list)):
+        return [c for x in e for c in columns_in(x)]
+    return [c for f in fields(e) for c in columns_in(getattr(e, f.name))] if is_dataclass(e) else []
 
 
 @dataclass
@@ -77,6 +102,8 @@ class Result:
     bound: Bound | None
     kinds: list[str]
     source_rows: bool = False
+    #: The same rows in any order, of a plan that stops reading once it has enough; for rows().
+    early: DataFrame | None = None
 
     def named(self) -> DataFrame:
         """df with the labels as names."""
@@ -87,13 +114,20 @@ class Result:
         if self.df is None:
             return []
         try:
-            found = self.df.select(*(f"c{i}" for i in range(1, len(self.columns) + 1))).collect()
+            names = [f"c{i}" for i in range(1, len(self.columns) + 1)]
+            if self.early is not None:
+                found = [r[1:] for r in sorted(self.early.select(ROW, *names).collect(), key=lambda r: r[0])]  # at most LIMIT rows
+            else:
+                found = self.df.select(*names).collect()
         except Exception as e:
             if TOO_MANY in str(e):
                 raise TooManyGroups(f"The query has more than {self.spec.max_groups} groups.") from None
             raise
         return [tuple(plain(v) for v in r) for r in found]
 
+    async def rows_async(self) -> list[tuple]:
+        return await asyncio.to_thread(self.rows)
+
     def source_row_indices(self) -> list[int]:
         return [r[0] for r in self.df.select(ROW).collect()] if self.source_rows else []
 
@@ -158,6 +192,8 @@ def execute(sheet: Sheet, spec: QuerySpec, header_row: int, ordered: bool = True
     if spec.stats and pruned(spec):
         return Result([], None, spec, None, [])
     bound = bind(sheet, spec.range, header_row)
+    if bound is not None:
+        bound = narrowed(bound, spec)
     globally = not spec.group_by and any(aggregates(s.expr) for s in spec.selections)
     if bound is None:
         if spec.simple and globally and spec.limit != 0:
@@ -179,15 +215,19 @@ def row_result(bound: Bound, rows: DataFrame, compiler: Compiler, spec: QuerySpe
     else:
         values = [compiler.value(s.expr) for s in spec.selections]
         labels = [bound.names[bound.position(s.expr.name)] if spec.simple else s.label for s in spec.selections]
+    matched = rows
     if spec.order_by is not None:
         by = compiler.value(substitute(spec.order_by, aliases)).order_keys(spec.descending)
         rows = rows.orderBy(*by, F.col(ROW).asc())
     elif ordered or spec.limit is not None:
         rows = rows.orderBy(ROW)
-    out = rows.select(ROW, *(v.col.alias(f"c{i}") for i, v in enumerate(values, 1)))
+    shown = [F.col(ROW), *(v.col.alias(f"c{i}") for i, v in enumerate(values, 1))]
+    out, early = rows.select(*shown), None
     if spec.limit is not None:
         out = empty_of(out) if spec.limit == 0 else out.limit(spec.limit)
-    return Result(list(labels), out, spec, bound, [v.kind for v in values], source_rows=True)
+        if spec.limit and spec.order_by is None and bound.sheet.in_order:
+            early = matched.select(*shown).limit(spec.limit)  # collected, it reads partitions in order
+    return Result(list(labels), out, spec, bound, [v.kind for v in values], source_rows=True, early=early)
 
 
 def grouped_result(bound: Bound, rows: DataFrame, compiler: Compiler, spec: QuerySpec, aliases: dict[str, Expr], ordered: bool) -> Result:
@@ -234,10 +274,12 @@ def grouped_result(bound: Bound, rows: DataFrame, compiler: Compiler, spec: Quer
 
 
 def checked(made: DataFrame, most: int) -> DataFrame:
-    """made, which fails at run time if it has more than `most` rows. At most one more is gathered to count them."""
-    few = made.limit(most + 1).withColumn("_groups", F.count(F.lit(1)).over(Window.partitionBy()))
-    verdict = F.when(F.col("_groups") > most, F.raise_error(F.lit(TOO_MANY)).cast("boolean")).otherwise(F.lit(True))
-    return few.where(verdict).drop("_groups")
+    """made, which fails at run time if it has more than `most` rows; they stay where they are.
+
+    The count reads all columns, so that it shares made's shuffle; the verdict must not move below it.
+    """
+    count = made.agg(F.count(F.when(F.xxhash64(*(F.col(c) for c in made.columns)) != 0, 1)).alias("n")).scalar()
+    return made.where(F.when(count > most, F.raise_error(F.lit(TOO_MANY)).cast("boolean")).otherwise(F.monotonically_increasing_id() >= 0))
 
 
 def pruned(spec: QuerySpec) -> bool:
@@ -289,13 +331,16 @@ def diagnose(bound: Bound | None, spec: QuerySpec) -> DataFrame:
         kinds = rows.groupBy(*(F.col(f"_g{i}").alias(f"_h{i}") for i in range(len(groups)))).agg(*(c.alias(n) for n, c in firsts))
         same_group = [F.col(f"_g{i}").eqNullSafe(F.col(f"_h{i}")) for i in range(len(groups))]
         rows = rows.join(kinds, same_group, "left") if groups else rows.crossJoin(F.broadcast(kinds))  # one row
-    out = rows.sparkSession.createDataFrame([], "column string, skipped_count long, sample_row_indices array<long>")
-    for same, bad in labels.items():
-        found = rows.where(bad).select(ROW)
-        first = found.orderBy(ROW).limit(5).agg(F.sort_array(F.collect_list(ROW)).alias("sample_row_indices"))
-        counted = found.agg(F.count(F.lit(1)).alias("skipped_count")).crossJoin(first).where("skipped_count > 0")
-        out = out.union(counted.select(F.lit(names[same]).alias("column"), "skipped_count", "sample_row_indices"))
-    return out
+    nothing = rows.sparkSession.createDataFrame([], "column string, skipped_count long, sample_row_indices array<long>")
+    if not labels:
+        return nothing
+    # One scan counts for all columns, one finds the first rows of all: the window keeps five a column and task.
+    entries = F.array(*(F.struct(F.lit(i).alias("at"), F.lit(names[same]).alias("column"), F.count(F.when(bad, 1)).alias("skipped_count")) for i, (same, bad) in enumerate(labels.items())))
+    counted = rows.agg(entries.alias("entries")).select(F.inline("entries")).where("skipped_count > 0")
+    each = rows.select(ROW, F.explode(F.array_compact(F.array(*(F.when(bad, F.lit(i)) for i, bad in enumerate(labels.values()))))).alias("at"))
+    first = each.withColumn("n", F.row_number().over(Window.partitionBy("at").orderBy(ROW))).where("n <= 5")
+    first = first.groupBy("at").agg(F.sort_array(F.collect_list(ROW)).alias("sample_row_indices"))
+    return counted.join(first, "at").select("column", "skipped_count", "sample_row_indices").union(nothing)
 
 
 def distinct_values(sheet: Sheet, spec: QuerySpec, header_row: int, column: str, top: int = 100) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +20,23 @@ def physical(column: int) -> str:
 
 @dataclass
 class Sheet:
-    """df has ROW and the physical columns c1..cN. names: the header of a table, which stands in row 1."""
+    """df has ROW and the physical columns c1..cN. names: the header of a table, which stands in row 1.
+
+    in_order: partitions, and the rows in them, follow one another by ROW. narrow: df with some columns only, for
+    sources that Catalyst can't prune.
+    """
 
     name: str
     df: DataFrame
     width: int
     names: list[str] | None = None
     extra: dict = field(default_factory=dict)
+    in_order: bool = False
+    narrow: Callable[[list[int]], DataFrame] | None = None
+
+    def narrowed(self, columns: list[int]) -> Sheet:
+        """The sheet for queries that need these columns only."""
+        return self if self.narrow is None else replace(self, df=self.narrow(sorted({c for c in columns if c <= self.width})), narrow=None)
 
     def value(self, column: int) -> Value:
         """The values of a column; columns beyond the sheet are empty."""
@@ -47,7 +58,8 @@ class Sheet:
             return 1, [self.names[c - 1] for c in columns]
         found = self.df.where(F.col(ROW) == row) if row else self.rows(area)
         shown = [self.value(c).display.alias(physical(c)) for c in columns]
-        first = found.select(ROW, *shown).orderBy(ROW).limit(1).collect()
+        found = found.select(ROW, *shown)
+        first = (found if self.in_order else found.orderBy(ROW)).limit(1).collect()  # in order, later rows stay unread
         return (first[0][0], list(first[0][1:])) if first else None
 
 
@@ -67,24 +79,29 @@ def table_sheet(name: str, df: DataFrame, row_index: Column | None = None) -> Sh
 
 
 def parquet_sheet(spark: SparkSession, path: str, name: str) -> Sheet:
-    """A Parquet table in file order. Row numbers come from file metadata, so scans stay prunable."""
+    """A Parquet table in file order. Row numbers come from file metadata, so scans stay prunable.
+
+    Of several files each one's first row number is joined by its path. The paths are unique on that side, so
+    the join goes from plans that need no row number.
+    """
     df = spark.read.parquet(path)
     index = F.col("_metadata.row_index")
-    files = df.select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     if len(df.inputFiles()) > 1:
         from pyspark.sql import Window
 
+        files = df.select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
         before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-        bases = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))  # one row a file
-        own = df.select("*", F.col("_metadata.file_path").alias("_file"), index.alias("_index")).join(bases, F.col("_file") == F.col("file"))
+        bases = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # one row a file
+        bases = bases.groupBy("file").agg(F.first("base").alias("_base"))
+        own = df.select("*", F.col("_metadata.file_path").alias("_file"), index.alias("_index")).join(bases, F.col("_file") == F.col("file"), "left")
         sheet = table_sheet(name, own.select(*(f"`{c}`" for c in df.columns), (F.col("_base") + F.col("_index")).alias("_index")), F.col("_index"))
         return Sheet(name, sheet.df.drop(physical(sheet.width)), sheet.width - 1, df.columns)
-    return table_sheet(name, df, index)
+    return replace(table_sheet(name, df, index), in_order=True)
 
 
-def cell_sheet(name: str, df: DataFrame, extra: dict | None = None) -> Sheet:
+def cell_sheet(name: str, df: DataFrame, extra: dict | None = None, **known) -> Sheet:
     """Rows of ROW and the cell structs c1..cN; the header is one of the rows."""
-    return Sheet(name, df, sum(f.dataType == CELL for f in df.schema), None, extra or {})
+    return Sheet(name, df, sum(f.dataType == CELL for f in df.schema), None, extra or {}, **known)
 
 
 def letters_of(area: Range) -> list[str]:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.kinds import BOOLEAN, CELL, DATE, EMPTY, NUMBER
+from ..functions.kinds import CELL
+from .columns import pieces, rows_of, width
 from .sheet import ROW, cell_sheet, physical
-from .xlsx import Cell, open_package
+from .xlsx import open_package
 
 #: Cells of a long-form relation.
 CELLS = T.StructType([
@@ -20,11 +21,12 @@ CELLS = T.StructType([
     *CELL.fields, T.StructField("is_formula", T.BooleanType()), T.StructField("is_array", T.BooleanType()), T.StructField("formula", T.StringType()),
 ])
 SHEETS = T.StructType([T.StructField(n, t) for n, t in (("workbook", T.StringType()), ("sheet", T.StringType()), ("position", T.IntegerType()), ("format", T.StringType()), ("date1904", T.BooleanType()), ("macros", T.BooleanType()))])
-BATCH = 50_000
 
 
-def files(spark: SparkSession, source: str | bytes) -> DataFrame:
-    """(workbook, content) of a path or glob that Spark reads, or of bytes."""
+def files(spark: SparkSession, source: str | bytes | DataFrame) -> DataFrame:
+    """(workbook, content) of a path or glob that Spark reads, of bytes, or as given."""
+    if isinstance(source, DataFrame):
+        return source.select("workbook", "content")
     if isinstance(source, bytes):
         return spark.createDataFrame([("bytes", bytearray(source))], "workbook string, content binary")
     return spark.read.format("binaryFile").load(source).select(F.col("path").alias("workbook"), "content")
@@ -45,11 +47,6 @@ def sheets(files: DataFrame) -> DataFrame:
     return files.mapInArrow(run, SHEETS)
 
 
-def fields(c: Cell) -> tuple:
-    v = c.value
-    return (c.kind, v if c.kind == NUMBER else None, v if c.kind == DATE else None, v if c.kind == BOOLEAN else None, None if c.kind in (EMPTY, NUMBER, DATE, BOOLEAN) else v)
-
-
 def cells(files: DataFrame, names: DataFrame | None = None, mode: str = "values") -> DataFrame:
     """Long form of all cells; one task decodes one sheet. names: (workbook, sheet) pairs, all by default."""
     names = sheets(files).select("workbook", "sheet") if names is None else names
@@ -60,54 +57,49 @@ def cells(files: DataFrame, names: DataFrame | None = None, mode: str = "values"
         for batch in batches:
             for one in (batch.slice(i, 1) for i in range(batch.num_rows)):
                 name, content, sheet = (one.column(c)[0].as_py() for c in ("workbook", "content", "sheet"))
-                held = []
-                for c in open_package(content).cells(sheet, mode == "formulas"):
-                    held.append((name, sheet, c.row, c.column, *fields(c), c.has_formula, c.array, c.formula))
-                    if len(held) == BATCH:
-                        yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*held), arrow)], schema=arrow)
-                        held = []
-                if held:
-                    yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*held), arrow)], schema=arrow)
+                for found in pieces(open_package(content), sheet, mode == "formulas"):
+                    n = len(found.row)
+                    columns = [pa.array([name] * n), pa.array([sheet] * n), pa.array(found.row), pa.array(found.column), *found.parts()]
+                    columns += [pa.array(found.has_formula), pa.array(found.array), pa.array(found.formula, pa.string())]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return tasks.mapInArrow(run, CELLS)
 
 
-def wide(files: DataFrame, sheet: str, width: int, mode: str, keep_blank: bool) -> DataFrame:
-    """Rows of one sheet in document order, with cell structs c1..cN. keep_blank: rows of blank cells count as present."""
-    schema = T.StructType([T.StructField(ROW, T.LongType()), *(T.StructField(physical(i), CELL) for i in range(1, width + 1))])
+def wide(files: DataFrame, sheet: str, columns: list[int], mode: str, keep_blank: bool) -> DataFrame:
+    """Rows of one sheet in document order, with cell structs of these columns. keep_blank: rows of blank cells count as present."""
+    schema = T.StructType([T.StructField(ROW, T.LongType()), *(T.StructField(physical(i), CELL) for i in columns)])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = CELL.fieldNames()
         for batch in batches:
             for content in batch.column("content").to_pylist():
-                rows: list[dict] = []
-                now, held, some = None, {}, False
-                for c in (*open_package(content).cells(sheet, mode == "formulas"), None):
-                    if now is not None and (c is None or c.row != now):
-                        if held and (keep_blank or some):
-                            rows.append({ROW: now} | {physical(i): x for i, x in held.items()})
-                        held, some = {}, False
-                        if rows and (c is None or len(rows) >= 5_000):
-                            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                            rows = []
-                    if c is not None:
-                        now, held[c.column] = c.row, dict(zip(names, fields(c)))
-                        some = some or c.kind != EMPTY
+                yield from rows_of(pieces(open_package(content), sheet, mode == "formulas"), columns, keep_blank, arrow)
 
     return files.mapInArrow(run, schema)
 
 
-def open_workbook(kind, spark: SparkSession, source: str | bytes, mode: str):
+def widths(files: DataFrame) -> DataFrame:
+    """SHEETS with `width`, each sheet's last column that has a cell; one task a sheet, which decodes no value."""
+    known = files.join(sheets(files), "workbook").repartition("workbook", "sheet")
+    schema = T.StructType([*SHEETS, T.StructField("width", T.IntegerType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                yield pa.RecordBatch.from_pylist([row | {"width": width(open_package(row.pop("content")), row["sheet"])}], schema=arrow)
+
+    return known.mapInArrow(run, schema)
+
+
+def open_workbook(kind, spark: SparkSession, source: str | bytes | DataFrame, mode: str):
     """A Workbook of all sheets of one file. One job learns the sheets' names and widths."""
     content = files(spark, source)
-    known = sheets(content)
-    widths = cells(content, known.select("workbook", "sheet")).groupBy("sheet").agg(F.max("column").alias("width"))
-    rows = known.join(widths, "sheet", "left").orderBy("position").collect()
+    rows = widths(content).orderBy("position").collect()
     out = []
     for r in rows:
-        width = r["width"] or 0
-        df = wide(content, r["sheet"], width, mode, keep_blank=r["format"] != "xlsb")
-        out.append(cell_sheet(r["sheet"], df, {"files": content, "mode": mode}))
+        one = lambda columns, r=r: wide(content, r["sheet"], columns, mode, keep_blank=r["format"] != "xlsb")
+        out.append(cell_sheet(r["sheet"], one(list(range(1, r["width"] + 1))), {"files": content, "mode": mode}, in_order=True, narrow=one))
     info = {"format": rows[0]["format"], "date1904": rows[0]["date1904"], "macros": rows[0]["macros"], "files": content} if rows else {"files": content}
     return kind(spark, out, info)

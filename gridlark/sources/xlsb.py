@@ -17,6 +17,7 @@ from .xlsx import Cell, Package, Style, numeric
 ROW, BLANK, RK, ERR, BOOL, REAL, STRING, SHARED, F_STRING, F_NUMBER, F_BOOL, F_ERROR = range(12)
 STRING_ITEM, NAME, FORMAT, XF, VALIDATION, SHEET_DATA, END_SHEET_DATA, DIMENSION, WORKBOOK, SHEET = 19, 39, 44, 47, 64, 145, 146, 148, 153, 156
 MERGE, EXTERN, CONDITIONAL, LINK, CELL_FORMATS, END_CELL_FORMATS = 176, 362, 461, 494, 617, 619
+LINK_SHEETS, LINK_BOOK, LINK_NAME, COMMENT, COMMENT_TEXT = 358, 360, 577, 635, 637
 #: Error codes and formula tokens.
 ERRORS = {0x00: "#NULL!", 0x07: "#DIV/0!", 0x0F: "#VALUE!", 0x17: "#REF!", 0x1D: "#NAME?", 0x24: "#NUM!", 0x2A: "#N/A", 0x2B: "#GETTING_DATA"}
 BINARY = {0x03: "+", 0x04: "-", 0x05: "*", 0x06: "/", 0x07: "^", 0x08: "&", 0x09: "<", 0x0A: "<=", 0x0B: "=", 0x0C: ">=", 0x0D: ">", 0x0E: "<>", 0x0F: " ", 0x10: ",", 0x11: ":"}
@@ -92,6 +93,40 @@ class Xlsb(Package):
             elif kind == EXTERN and len(data) >= 4:
                 (count,) = struct.unpack_from("<I", data)
                 out["extern"] = [struct.unpack_from("<Iii", data, 4 + 12 * i) for i in range(min(count, (len(data) - 4) // 12))]
+            elif kind == NAME and len(data) >= 13:
+                scope = struct.unpack_from("<I", data, 5)[0]
+                name, at = wide_string(data, 9)
+                out["names"].append((name, None if scope == 0xFFFFFFFF else scope, data[at:]))
+        return out
+
+    def defined_names(self) -> list[tuple[str, str | None, str]]:
+        """(name, the sheet of its scope or None, what it stands for as text, empty if that has no text here)."""
+        sheets = list(self.sheets)
+        return [(n, sheets[i] if i is not None and i < len(sheets) else None, self.formula(f)) for n, i, f in self._book["names"]]
+
+    def external(self, part: str) -> tuple[list[str], list[str]]:
+        """Sheets and defined names of a linked workbook."""
+        sheets, names = [], []
+        for kind, data in records(self.read(part) or b""):
+            if kind == LINK_SHEETS and len(data) >= 4:
+                at = 4
+                for _ in range(struct.unpack_from("<I", data)[0]):
+                    name, at = wide_string(data, at)
+                    sheets.append(name)
+            elif kind == LINK_NAME:
+                names.append(wide_string(data, 0)[0])
+        return sheets, names
+
+    def comments(self, part: str) -> list[tuple[str, str]]:
+        """(cell, text) of a part's comments."""
+        out, at = [], None
+        for kind, data in records(self.read(part) or b""):
+            if kind == COMMENT and len(data) >= 20:
+                row, _, column, _ = struct.unpack_from("<IIII", data, 4)
+                at = f"{letters(column + 1)}{row + 1}"
+            elif kind == COMMENT_TEXT and at:
+                out.append((at, wide_string(data, 1)[0]))
+                at = None
         return out
 
     @property

@@ -28,7 +28,7 @@ _TEXTS = re.compile(rb"<t(?:\s[^>]*)?>(.*?)</t>", re.S)
 
 
 @cache
-def _columns(name: bytes) -> int:
+def column_of(name: bytes) -> int:
     """The number of column letters; 0 if they are none."""
     try:
         return column_number(name.decode())
@@ -188,43 +188,25 @@ class Xlsx(Package):
         formats = next((x for x in tree if local(x.tag) == "cellXfs"), ())
         return Style([is_date_id(int(attribute(x, "numFmtId", 0) or 0), custom) for x in formats])
 
-    def cells(self, sheet: str, formulas: bool = False) -> Iterator[Cell]:
-        """Every cell element in document order; missing references follow on from the one before."""
-        content = self.read(self.part(sheet))
-        if content is None:
+    @cached_property
+    def string_array(self):
+        import numpy as np
+
+        out = np.empty(len(self.strings), object)
+        out[:] = self.strings
+        return out
+
+    def scan_state(self, sheet: str, formulas: bool) -> Scan:
+        part = self.names.get(self.part(sheet).lower().lstrip("/"))
+        if part is None:
             raise MalformedWorkbook(f"Sheet '{sheet}' has no part.")
-        start, end = content.find(b"<sheetData>"), content.rfind(b"</sheetData>")
-        plain = 0 <= start < end and not any(x in content for x in (b"<![CDATA[", b"<!--", b"<!DOCTYPE")) and content[:200].find(b"UTF-16") < 0
-        yield from self._scan(sheet, content[start + 11 : end], formulas) if plain else self._walk(sheet, content, formulas)
+        return Scan(self, sheet, part, formulas)
 
-    def _scan(self, sheet: str, body: bytes, formulas: bool) -> Iterator[Cell]:
-        """Of plain markup, by one pattern for rows and cells; about five times as fast as a tree."""
-        row = column = seen = 0
-        shared: dict[str, str] = {}
-        for found in _PARTS.finditer(body):
-            line, attributes, inner = found.groups()
-            if line is not None:
-                number = _ROW_NUMBER.search(line)
-                row, column = int(number[1]) if number else row + 1, 0
-                continue
-            seen += 1
-            column += 1
-            if usual := _USUAL.fullmatch(attributes):
-                name, style, kind = usual.groups()
-                column = _columns(name)
-            else:
-                known = {k: v for k, _, v in _PAIRS.findall(attributes)}
-                style, kind = known.get(b"s"), known.get(b"t")
-                if reference := known.get(b"r"):
-                    column = _columns(reference.rstrip(b"0123456789")) or column
-            if not (1 <= row <= MAX_ROWS and column <= MAX_COLUMNS):
-                continue
-            out = Cell(row, column)
-            if inner:
-                self._fill(out, inner, kind, style, formulas, shared)
-            yield out
-        if seen != body.count(b"<c ") + body.count(b"<c>") + body.count(b"<c/"):
-            raise MalformedWorkbook(f"Sheet '{sheet}' has cells that don't end.")
+    def cells(self, sheet: str, formulas: bool = False) -> Iterator[Cell]:
+        """Every cell element in document order; missing references follow on from the one before."""
+        scan = self.scan_state(sheet, formulas)
+        for body in scan.bodies(4 << 20):
+            yield from scan.cells(body)
 
     def _fill(self, out: Cell, inner: bytes, kind: bytes | None, style: bytes | None, formulas: bool, shared: dict[str, str]) -> None:
         formula = value = None
@@ -255,36 +237,6 @@ class Xlsx(Package):
             if value is not None:
                 out.kind, out.value = self._decode(kind, html_unescape(value) if "&" in value else value, int(style) if style and style.isdigit() else 0)
 
-    def _walk(self, sheet: str, content: bytes, formulas: bool) -> Iterator[Cell]:
-        """The same of any markup, by its tree."""
-        row = column = 0
-        shared: dict[str, str] = {}
-        try:
-            for event, node in ElementTree.iterparse(io.BytesIO(content), ("start", "end")):
-                tag = local(node.tag)
-                if event == "start":
-                    if tag == "row":
-                        row, column = _number(attribute(node, "r"), row + 1), 0
-                    elif tag == "c":
-                        column += 1
-                        if reference := attribute(node, "r"):
-                            try:
-                                column = parse_cell(reference)[0]
-                            except InvalidAddress:
-                                letters = re.match(r"[A-Za-z]{1,3}", reference)
-                                column = column_number(letters[0]) if letters else column
-                    continue
-                if tag == "c":
-                    if 1 <= row <= MAX_ROWS and column <= MAX_COLUMNS:
-                        yield self._cell(node, row, column, formulas, shared)
-                    node.clear()
-                elif tag == "row":
-                    node.clear()
-                elif tag == "sheetData":
-                    return
-        except ElementTree.ParseError as e:
-            raise MalformedWorkbook(f"Sheet '{sheet}': {e}") from None
-
     def _cell(self, node, row: int, column: int, formulas: bool, shared: dict[str, str]) -> Cell:
         kind, style = attribute(node, "t", "n"), _number(attribute(node, "s"), 0)
         value = inline = formula = None
@@ -350,6 +302,105 @@ class Xlsx(Package):
         return out
 
 
+class Scan:
+    """A sheet's markup read piece by piece, with what one piece leaves for the next: the row and shared formulas."""
+
+    def __init__(self, package: Xlsx, sheet: str, part: str, formulas: bool):
+        self.package, self.sheet, self.part, self.formulas = package, sheet, part, formulas
+        self.row, self.shared, self.head = 0, {}, b""
+
+    def bodies(self, size: int) -> Iterator[bytes]:
+        """Whole rows of markup, about `size` bytes at a time; of sheets in an unusual form, all at once from their first byte."""
+        with self.package.zip.open(self.part) as stream:
+            held = stream.read(1 << 16)
+            start = held.find(b"<sheetData>")
+            while start < 0 and b"<sheetData/>" not in held and len(held) < 1 << 22 and (more := stream.read(1 << 16)):
+                held += more
+                start = held.find(b"<sheetData>")
+            if start < 0 or held[:200].find(b"UTF-16") >= 0 or any(x in held[:start] for x in (b"<!--", b"<!DOCTYPE", b"<![CDATA[")):
+                self.head = b""
+                yield held + stream.read()
+                return
+            self.head, held = held[: start + 11], held[start + 11 :]
+            while (end := held.find(b"</sheetData>")) < 0:
+                more = stream.read(size)
+                if not more:
+                    raise MalformedWorkbook(f"Sheet '{self.sheet}': its cells don't end.")
+                held += more
+                if (cut := held.rfind(b"</row>")) >= 0 and b"</sheetData>" not in held and held.rfind(b"<!--") <= held.rfind(b"-->") and held.rfind(b"<![CDATA[") <= held.rfind(b"]]>"):
+                    yield held[: cut + 6]
+                    held = held[cut + 6 :]
+            if end:
+                yield held[:end]
+
+    def cells(self, body: bytes) -> Iterator[Cell]:
+        """The cells of one of bodies()."""
+        if not self.head:
+            yield from self._walk(body)
+        elif b"<![CDATA[" in body or b"<!--" in body:
+            name = re.search(rb"<([\w:]*worksheet)\b", self.head)
+            yield from self._walk(self.head + body + b"</sheetData></" + (name[1] if name else b"worksheet") + b">")
+        else:
+            yield from self._scan(body)
+
+    def _scan(self, body: bytes) -> Iterator[Cell]:
+        """Of plain markup, by one pattern for rows and cells; about five times as fast as a tree."""
+        column = seen = 0
+        for found in _PARTS.finditer(body):
+            line, attributes, inner = found.groups()
+            if line is not None:
+                number = _ROW_NUMBER.search(line)
+                self.row, column = int(number[1]) if number else self.row + 1, 0
+                continue
+            seen += 1
+            column += 1
+            if usual := _USUAL.fullmatch(attributes):
+                name, style, kind = usual.groups()
+                column = column_of(name)
+            else:
+                known = {k: v for k, _, v in _PAIRS.findall(attributes)}
+                style, kind = known.get(b"s"), known.get(b"t")
+                if reference := known.get(b"r"):
+                    column = column_of(reference.rstrip(b"0123456789")) or column
+            if not (1 <= self.row <= MAX_ROWS and column <= MAX_COLUMNS):
+                continue
+            out = Cell(self.row, column)
+            if inner:
+                self.package._fill(out, inner, kind, style, self.formulas, self.shared)
+            yield out
+        if seen != body.count(b"<c ") + body.count(b"<c>") + body.count(b"<c/"):
+            raise MalformedWorkbook(f"Sheet '{self.sheet}' has cells that don't end.")
+
+    def _walk(self, content: bytes) -> Iterator[Cell]:
+        """The same of any markup, by its tree."""
+        column = 0
+        try:
+            for event, node in ElementTree.iterparse(io.BytesIO(content), ("start", "end")):
+                tag = local(node.tag)
+                if event == "start":
+                    if tag == "row":
+                        self.row, column = _number(attribute(node, "r"), self.row + 1), 0
+                    elif tag == "c":
+                        column += 1
+                        if reference := attribute(node, "r"):
+                            try:
+                                column = parse_cell(reference)[0]
+                            except InvalidAddress:
+                                letters = re.match(r"[A-Za-z]{1,3}", reference)
+                                column = column_number(letters[0]) if letters else column
+                    continue
+                if tag == "c":
+                    if 1 <= self.row <= MAX_ROWS and column <= MAX_COLUMNS:
+                        yield self.package._cell(node, self.row, column, self.formulas, self.shared)
+                    node.clear()
+                elif tag == "row":
+                    node.clear()
+                elif tag == "sheetData":
+                    return
+        except ElementTree.ParseError as e:
+            raise MalformedWorkbook(f"Sheet '{self.sheet}': {e}") from None
+
+
 def _number(text: str | None, default: int) -> int:
     try:
         return int(text)

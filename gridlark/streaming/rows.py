@@ -19,8 +19,10 @@ def plain(v):
 
 def rows(sheet: Sheet, area: Range) -> Iterator[tuple[int, list]]:
     """(row number, values) of the present rows; only the area's columns are read."""
-    columns = [sheet.value(c).col.alias(physical(c)) for c in range(area.left, min(area.right, sheet.width) + 1)]
-    for r in sheet.rows(area).select(F.col(ROW), *columns).orderBy(ROW).toLocalIterator():
+    numbers = range(area.left, min(area.right, sheet.width) + 1)
+    sheet = sheet.narrowed(list(numbers))
+    found = sheet.rows(area).select(F.col(ROW), *(sheet.value(c).col.alias(physical(c)) for c in numbers))
+    for r in (found if sheet.in_order else found.orderBy(ROW)).toLocalIterator():
         yield r[0], [plain(v) for v in r[1:]]
 
 

@@ -10,6 +10,7 @@ import pytest
 from gridlark.errors import InvalidAddress, MalformedWorkbook, QueryDslError
 from gridlark.functions.display import number_text
 from gridlark.functions.kinds import BOOLEAN, DATE, EMPTY, ERROR, FORMULA, NUMBER, TEXT
+from gridlark.operators.metadata import items_of
 from gridlark.plans.address import Range, column_number, letters, parse_cell, parse_range
 from gridlark.plans.ast import QuerySpec
 from gridlark.sources import vba
@@ -136,6 +137,32 @@ def test_binary_workbook(spark):
     assert opened.format == "xlsb" and [r for r, _ in opened.stream_rows("My S")] == [1, 3]
 
 
+def test_binary_metadata():
+    """Names of the book and of a sheet, comments, and a linked workbook."""
+    def rewritten(content, parts):
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(content)) as a, zipfile.ZipFile(out, "w") as b:
+            for n in a.namelist():
+                b.writestr(n, parts.pop(n)(a.read(n)) if n in parts else a.read(n))
+            for n, made in parts.items():
+                b.writestr(n, made(b""))
+        return out.getvalue()
+
+    tokens = b"\x44" + struct.pack("<IH", 2, 0)
+    named = lambda name, scope: record(39, bytes(5) + struct.pack("<I", scope) + wide(name) + struct.pack("<I", len(tokens)) + tokens)
+    comment = record(635, struct.pack("<IIIII", 0, 4, 4, 1, 1) + bytes(16)) + record(637, b"\0" + wide("a note")) + record(636)
+    content = rewritten(binary_book([record(0, struct.pack("<I", 0)), cell(6, 0, wide("x"))]), {
+        "xl/workbook.bin": lambda old: old + named("Total", 0xFFFFFFFF) + named("Own", 0),
+        "xl/_rels/workbook.bin.rels": lambda old: old.replace(b"</Relationships>", f'<Relationship Id="e1" Type="{REL}/externalLink" Target="externalLinks/externalLink1.bin"/></Relationships>'.encode()),
+        "xl/externalLinks/externalLink1.bin": lambda _: record(360, b"\0\0" + wide("rId1") + wide("")) + record(358, struct.pack("<I", 2) + wide("First") + wide("Second")) + record(577, wide("Rate")),
+        "xl/externalLinks/_rels/externalLink1.bin.rels": lambda _: f'<Relationships><Relationship Id="rId1" Type="{REL}/externalLinkPath" Target="other.xlsx" TargetMode="External"/></Relationships>'.encode(),
+        "xl/worksheets/_rels/sheet1.bin.rels": lambda _: f'<Relationships><Relationship Id="c" Type="{REL}/comments" Target="../comments1.bin"/></Relationships>'.encode(),
+        "xl/comments1.bin": lambda _: comment,
+    })
+    found = [(x["kind"], x["sheet"], x["name"], x["ref"], x["parts"], x["detail"]) for x in items_of(content) if x["kind"] in ("name", "comment", "link")]
+    assert sorted(found, key=str) == sorted([("name", None, "Total", "$A$3", [], None), ("name", "My S", "Own", "$A$3", [], None), ("comment", "My S", None, "B5", [], "a note"), ("link", None, "externalLink1.bin", "other.xlsx", ["First", "Second"], "Rate")], key=str)
+
+
 @pytest.mark.parametrize(("raw", "number"), [(5 << 2 | 2, 5), (0xFFFFFFFE, -1), (12345 << 2 | 3, 123.45), (0x3FF00000, 1.0), (0x40590001, 1.0)])
 def test_rk(raw, number):
     assert rk(struct.pack("<I", raw)) == number
