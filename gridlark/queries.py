@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .api import QueryAggregates as A
 from .api import Workbook
+from .errors import TooManyGroups
 from .functions.kinds import CELL, Value, typed
 from .operators.profile import profile, used_range
 from .plans.ast import QuerySpec
@@ -70,9 +71,8 @@ def area(table: str) -> str:
     return f"{table}!A1:{WIDTHS[table]}{END} HEADER ROW 1"
 
 
-def run_text(spark: SparkSession, sf_dir: str, query: str, most: int = 10_000_000) -> DataFrame:
-    found = query.format(**{t: area(t) for t in WIDTHS})
-    spec = QuerySpec.parse(found).with_group_limit(most)
+def run_text(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    spec = QuerySpec.parse(query.format(**{t: area(t) for t in WIDTHS}))
     return Workbook.of_tables(spark, sf_dir, spec.sheet).execute_query(spec, ordered=False).named()
 
 
@@ -130,10 +130,40 @@ def mixed_sheet(spark: SparkSession, sf_dir: str) -> Sheet:
 
 
 def mixed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The place of each kind in the order of cells: numbers, dates, text, empty; by the ranks of their first and last rows."""
+    """All cells in their order, numbers, dates, text and empty ones: each kind's first and last place and its number of rows."""
     sheet = mixed_sheet(spark, sf_dir)
-    result = Workbook(spark, [sheet]).execute_query(f"SELECT event_id, v FROM mixed!A1:C{END} HEADER ROW 1 ORDER BY v DESC LIMIT 300")
-    return result.df.select(F.col("c1").alias("event_id"), F.col("c2")["kind"].cast("int").alias("kind"))
+    n = sheet.df.count()
+    result = Workbook(spark, [sheet]).execute_query(f"SELECT event_id, v FROM mixed!A1:C{END} HEADER ROW 1 ORDER BY v DESC LIMIT {n}")
+    placed = result.df.select(F.col("c2")["kind"].cast("int").alias("kind"), (F.monotonically_increasing_id()).alias("place"))
+    return placed.groupBy("kind").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+def group_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a query has more groups than the default cap allows, and with a cap of its own."""
+    book = Workbook.of_tables(spark, sf_dir, "lineitem")
+    found = []
+    for most in (None, 7):
+        query = book.query_range("lineitem", f"A1:K{END}", 1).group_by("l_quantity").select(A.count())
+        try:
+            query = query if most is None else query.with_group_limit(most)
+            found.append((most or 0, len(query.execute(ordered=False).rows())))
+        except TooManyGroups:
+            found.append((most, -1))
+    return spark.createDataFrame(found, "cap long, groups long")
+
+
+def mixed_first_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MIN and MAX keep to the kind of a group's first number or date; COALESCE takes the first cell that isn't empty."""
+    book = Workbook(spark, [mixed_sheet(spark, sf_dir)])
+    result = book.execute_query(f"SELECT event_type, MIN(v) AS low, MAX(v) AS high, COUNT() FILTER (WHERE COALESCE(v, event_id) = event_id) AS filled FROM mixed!A1:C{END} HEADER ROW 1 GROUP BY event_type", ordered=False)
+    shown = result.named()
+    return shown.select("event_type", F.col("low")["kind"].cast("int").alias("kind"), F.coalesce(F.col("low")["num"], F.unix_micros(F.col("low")["ts"].cast("timestamp")).cast("double")).alias("low"), F.coalesce(F.col("high")["num"], F.unix_micros(F.col("high")["ts"].cast("timestamp")).cast("double")).alias("high"), "filled")
+
+
+def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet rows that a result's rows come from."""
+    result = Workbook.of_tables(spark, sf_dir, "nation").execute_query(f"FROM {area('nation')} SELECT n_name WHERE n_regionkey = 1", ordered=False)
+    return result.df.select(F.col("_row_index").alias("row"), F.col("c1").alias("n_name"))
 
 
 def mixed_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,8 +190,9 @@ def row_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Workbook.of_tables(spark, sf_dir, "region").read_range("region", "A2:B9")
-    return found.select(F.col("_row_index").alias("row"), F.col("c1").alias("key"), F.col("c2").alias("name"))
+    """The header row is text over the numbers and names below it."""
+    found = Workbook.of_tables(spark, sf_dir, "region").read_range("region", "A1:B9")
+    return found.select(F.col("_row_index").alias("row"), F.col("c1")["text"].alias("head"), F.col("c1")["num"].alias("key"), F.col("c2")["text"].alias("name"))
 
 
 FUNCTIONS: dict[str, tuple[Query, str | None]] = {
@@ -173,13 +204,16 @@ FUNCTIONS: dict[str, tuple[Query, str | None]] = {
     "profile_columns": (profile_columns, " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) column_index, '{c}' inferred_header, '{k}' dominant_type, count({c}) non_empty_count, {f'count({c})' if k == 'Text' else 'CAST(0 AS BIGINT)'} text_count, {f'count({c})' if k == 'Number' else 'CAST(0 AS BIGINT)'} number_count, count(DISTINCT {c}) distinct_estimate, {f'CAST(min({c}) AS DOUBLE)' if k == 'Number' else 'CAST(NULL AS DOUBLE)'} min_numeric, {f'CAST(max({c}) AS DOUBLE)' if k == 'Number' else 'CAST(NULL AS DOUBLE)'} max_numeric, {f'CAST(max(length({c})) AS INTEGER)' if k == 'Text' else 'CAST(0 AS INTEGER)'} max_text_length FROM part" for i, (c, k) in enumerate((("p_partkey", "Number"), ("p_name", "Text"), ("p_brand", "Text"), ("p_type", "Text"), ("p_size", "Number"), ("p_retailprice", "Number")), 1))),
     "profile_distinct_values": (profile_distinct_values, "SELECT 'c_mktsegment' inferred_header, string_agg(v, '|' ORDER BY v) listed FROM (SELECT DISTINCT c_mktsegment v FROM customer) UNION ALL SELECT 'c_nationkey', string_agg(CAST(v AS VARCHAR), '|' ORDER BY v) FROM (SELECT DISTINCT c_nationkey v FROM customer)"),
     "used_range": (used, "SELECT CAST(1 AS BIGINT) first_row, CAST(count(*) + 1 AS BIGINT) last_row, CAST(1 AS INTEGER) first_column, CAST(3 AS INTEGER) last_column, CAST(count(n_nationkey) + count(n_name) + count(n_regionkey) + 3 AS BIGINT) cell_count, CAST(count(*) + 1 AS BIGINT) row_count, CAST(3 AS INTEGER) column_count FROM nation"),
-    "mixed_order": (mixed_order, "SELECT CAST(event_id AS DOUBLE) event_id, CAST(2 AS INTEGER) kind FROM events WHERE event_id % 10 > 2 ORDER BY value DESC, event_id LIMIT 300"),
+    "mixed_order": (mixed_order, "WITH k AS (SELECT CASE event_id % 10 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 0 ELSE 2 END AS kind FROM events), c AS (SELECT kind, count(*) n FROM k GROUP BY kind), s AS (SELECT kind, n, CAST(sum(n) OVER (ORDER BY CASE kind WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END) AS BIGINT) e FROM c) SELECT CAST(kind AS INTEGER) AS kind, e - n AS first, e - 1 AS last, n FROM s"),
+    "group_cap": (group_cap, "SELECT CAST(0 AS BIGINT) AS cap, CASE WHEN count(DISTINCT l_quantity) > 10000 THEN -1 ELSE count(DISTINCT l_quantity) END AS groups FROM lineitem UNION ALL SELECT 7, CASE WHEN count(DISTINCT l_quantity) > 7 THEN -1 ELSE count(DISTINCT l_quantity) END FROM lineitem"),
+    "mixed_first_kind": (mixed_first_kind, "WITH e AS (SELECT event_type, event_id, CASE WHEN event_id % 10 = 1 THEN 3 WHEN event_id % 10 > 2 THEN 2 END k, value, epoch_us(CAST(ts AS TIMESTAMP)) t FROM events), f AS (SELECT event_type, arg_min(k, event_id) FILTER (WHERE k IS NOT NULL) kind FROM e GROUP BY 1) SELECT e.event_type, CAST(kind AS INTEGER) AS kind, CASE kind WHEN 2 THEN min(value) FILTER (WHERE k = 2) ELSE CAST(min(t) FILTER (WHERE k = 3) AS DOUBLE) END low, CASE kind WHEN 2 THEN max(value) FILTER (WHERE k = 2) ELSE CAST(max(t) FILTER (WHERE k = 3) AS DOUBLE) END high, CAST(count(*) FILTER (WHERE event_id % 10 = 2 OR event_id % 10 > 2 AND value = event_id) AS DOUBLE) filled FROM e JOIN f USING (event_type) GROUP BY e.event_type, kind"),
+    "row_numbers": (row_numbers, "SELECT r + 1 AS \"row\", n_name FROM (SELECT row_number() OVER () r, n_name, n_regionkey FROM nation) WHERE n_regionkey = 1"),
     "mixed_aggregates": (mixed_aggregates, "SELECT event_type, round(sum(value) FILTER (WHERE event_id % 10 > 2), 2) s, CAST(count(*) FILTER (WHERE event_id % 10 = 2) AS DOUBLE) e, CAST(count(*) FILTER (WHERE event_id % 10 > 2 AND value > 50) AS DOUBLE) big FROM events GROUP BY 1"),
     "dirty_diagnostics": (dirty_diagnostics, "SELECT 'v' AS \"column\", count(*) skipped_count, (SELECT string_agg(CAST(r AS VARCHAR), ',' ORDER BY r) FROM (SELECT event_id + 2 r FROM events WHERE event_id % 10 < 2 ORDER BY 1 LIMIT 5)) samples FROM events WHERE event_id % 10 < 2"),
     "range_window": (range_window, "SELECT CAST(n_nationkey AS DOUBLE) n_nationkey, n_name FROM nation WHERE n_nationkey < 10"),
     "external_header": (external_header, "SELECT n_name, CAST(n_regionkey AS DOUBLE) n_regionkey FROM nation WHERE n_nationkey BETWEEN 4 AND 7"),
     "row_stats": (row_stats, "SELECT count(*) rows_scanned, count(*) FILTER (WHERE o_totalprice > 250000) rows_matched FROM orders"),
-    "read_range": (read_range, "SELECT CAST(i AS BIGINT) AS \"row\", CAST(r_regionkey AS DOUBLE) AS key, r_name AS name FROM range(2, 10) t(i) LEFT JOIN region ON r_regionkey = i - 2"),
+    "read_range": (read_range, "SELECT CAST(i AS BIGINT) AS \"row\", CASE WHEN i = 1 THEN 'r_regionkey' END AS head, CAST(r_regionkey AS DOUBLE) AS key, CASE WHEN i = 1 THEN 'r_name' ELSE r_name END AS name FROM range(1, 10) t(i) LEFT JOIN region ON r_regionkey = i - 2"),
 }
 
 QUERIES: dict[str, Query] = {n: (lambda spark, sf_dir, q=q: run_text(spark, sf_dir, q)) for n, (q, _) in TEXTS.items()} | {n: f for n, (f, _) in FUNCTIONS.items()}

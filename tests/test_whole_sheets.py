@@ -1,4 +1,4 @@
-"""Queries over whole tables as sheets, beyond the sample book's 200 orders and 100 suppliers."""
+"""Queries over whole tables as sheets."""
 
 from datetime import datetime
 
@@ -18,11 +18,11 @@ def folder(spark, tmp_path_factory):
 
 
 def test_whole_tables(spark, folder):
-    (group,) = sheet_queries.QUERIES["xlsx_group_whole"](spark, folder).collect()
+    (group,) = sheet_queries.QUERIES["xlsx_group"](spark, folder).collect()
     assert (group.o_orderstatus, group.n, group.total) == ("F", 450, 900.0)
-    profiled = {r.inferred_header: r for r in sheet_queries.QUERIES["xlsx_profile_whole"](spark, folder).collect()}
+    profiled = {r.inferred_header: r for r in sheet_queries.QUERIES["xlsx_profile"](spark, folder).collect()}
     assert profiled["s_suppkey"].number_count == 130 and profiled["s_suppkey"].max_numeric == 129
-    assert {r.sheet: r.rows for r in sheet_queries.QUERIES["xlsx_cells_whole"](spark, folder).collect()} == {"nation": 26, "supplier": 131, "orders": 451}
+    assert {r.sheet: r.rows for r in sheet_queries.QUERIES["xlsx_cells"](spark, folder).collect()} == {"nation": 26, "supplier": 131, "orders": 451}
 
 
 def test_larger_than_a_sheet(spark, folder, monkeypatch):
