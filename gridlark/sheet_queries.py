@@ -286,6 +286,18 @@ def layout_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("sheet", F.col("numeric_count").cast("long").alias("numbers"), F.col("min_numeric").alias("low"), F.col("max_numeric").alias("high"))
 
 
+def layout_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Axes with their titles, roles, kinds and first samples."""
+    found = a1_of(layout(samples(spark)).where(F.col("item") == "axis").where(F.col("sheet").isin("Siblings", "Years", "Matrix", "Caption")))
+    return found.select("sheet", "area", "title", "orientation", "role", "value_kind", F.array_join("samples", "|").alias("shown"))
+
+
+def layout_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of an axis, from label rows without figures."""
+    found = layout(samples(spark)).where("item = 'axis' and sheet = 'Sections'")
+    return found.select("sheet", F.inline("sections"))
+
+
 def sheet_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formulas.dependencies(cells(files(spark, package(STATEMENT)))).select("sheet", "target_sheet", "formula_count")
 
@@ -301,7 +313,7 @@ def workbook_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata(files(spark, package(STATEMENT, merged))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (xlsx_project, xlsx_group, xlsx_limit, xlsx_profile, xlsx_cells, xlsb_group, xlsx_read_cell, xlsx_stream, xlsx_formulas, xlsx_header_auto, sheet_regions, sheet_layout, layout_fields, layout_groups, layout_profiles, sheet_formulas, sheet_analysis, workbook_metadata)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (xlsx_project, xlsx_group, xlsx_limit, xlsx_profile, xlsx_cells, xlsb_group, xlsx_read_cell, xlsx_stream, xlsx_formulas, xlsx_header_auto, sheet_regions, sheet_layout, layout_fields, layout_groups, layout_axes, layout_sections, layout_profiles, sheet_formulas, sheet_analysis, workbook_metadata)}
 ORACLES = {
     "xlsx_project": "SELECT n_name, CAST(n_regionkey AS DOUBLE) n_regionkey FROM nation WHERE n_regionkey >= 2",
     "xlsx_group": f"SELECT o_orderstatus, CAST(count(*) AS DOUBLE) n, round(sum(o_totalprice), 2) total, max(o_orderdate) AS last FROM orders GROUP BY 1",
@@ -318,6 +330,9 @@ ORACLES = {
 FIELDS = {"Stacked": {"B3:D5": 2, "B9:D11": 2}, "Siblings": {"B2:D5": 2, "F2:G5": 2}, "Years": {"C2:D7": 3}, "Calendar": {"A2:G5": 1}, "Pricing": {"A2:D5": 1}, "Band": {"B3:E5": 2}, "Units": {"B2:D4": 2}, "Forecast": {"C2:G7": 3}, "Caption": {"B3:D5": 2}, "Matrix": {"B3:F7": 2}}
 ORACLES |= {
     "layout_fields": "SELECT sheet, area, CAST(r AS INTEGER) AS rank FROM (VALUES " + ", ".join(f"('{s}', '{a}', {r})" for s, x in FIELDS.items() for a, r in x.items()) + ") t(sheet, area, r)",
+    "layout_groups": "SELECT sheet, title, CAST(n AS INTEGER) AS fields FROM (VALUES ('Caption', 'Growth (%)', 1), ('Matrix', 'Sensitivity', 1), ('Stacked', 'Income statement', 1), ('Stacked', 'Balance sheet', 1)) t(sheet, title, n)",
+    "layout_axes": "SELECT * FROM (VALUES ('Caption', 'B2:D2', 'Growth (%)', 'Horizontal', 'Primary', 'Text', 'Q1|Q2|Q3'), ('Caption', 'A3:A5', NULL, 'Vertical', 'Primary', 'Text', 'Foo|Bar|Baz'), ('Matrix', 'B2:F2', NULL, 'Horizontal', 'Primary', 'Numeric', '0.5|1|1.5'), ('Matrix', 'A3:A7', 'Sensitivity', 'Vertical', 'Primary', 'Numeric', '3.2|4.2|5.2'), ('Siblings', 'B1:D1', NULL, 'Horizontal', 'Primary', 'Numeric', '2023|2024|2025'), ('Siblings', 'F1:G1', NULL, 'Horizontal', 'Primary', 'Text', 'CAGR|Avg'), ('Siblings', 'A2:A5', NULL, 'Vertical', 'Primary', 'Text', 'Revenue|Costs|EBITDA'), ('Years', 'C1:D1', 'Year', 'Horizontal', 'Primary', 'Text', 'Assets|Deposits'), ('Years', 'A2:A7', NULL, 'Vertical', 'Primary', 'Text', 'Bank A|Bank A|Bank A'), ('Years', 'B2:B7', 'Year', 'Vertical', 'Context', 'Numeric', '2020|2021|2022')) t(sheet, area, title, orientation, role, value_kind, shown)",
+    "layout_sections": "SELECT 'Sections' AS sheet, title, CAST(a AS BIGINT) first_row, CAST(b AS BIGINT) last_row FROM (VALUES ('Funding', 2, 5), ('Loans', 6, 9)) t(title, a, b)",
     "layout_profiles": "SELECT * FROM (VALUES ('Pricing', CAST(16 AS BIGINT), CAST(3.9 AS DOUBLE), CAST(40 AS DOUBLE)), ('Units', 9, 5, 14070), ('Matrix', 25, 3, 22)) t(sheet, numbers, low, high)",
     "xlsx_limit": "SELECT CAST(o_orderkey AS DOUBLE) o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000 ORDER BY o_orderkey LIMIT 10",
     "xlsb_group": "SELECT c_mktsegment, CAST(count(*) AS DOUBLE) n, round(sum(c_acctbal), 2) total, 'xlsb' AS format FROM customer GROUP BY 1",
