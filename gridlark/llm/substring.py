@@ -8,8 +8,8 @@ that reading split the windows into groups that lie in a task's memory:
 
 * equal spans are one leaf of their tree, which its smallest owner keeps; an anchor with a single leaf ends here;
 * a group starts with the PREFIX words of an anchor. While it has more than GROUP leaves, its prefix is
-  made longer (LENGTHS): windows whose right part has that many words stay together as a shorter span, each
-  other one continues to its left, apart from those with another place of the anchor;
+  made longer: first to half a window, rightwards for the windows that have so many words there and
+  leftwards for the others, each of both a shorter span; then to the whole window;
 * a group that fits is a subtree: leaves sorted by the words right of the anchor, with their common
   lengths, are its right-hand part; the same is done leftwards. Nodes at total depth WINDOW are the
   repeats, and the smallest owner below one keeps it;
@@ -34,10 +34,12 @@ from pyspark.sql import types as T
 from .common import ascii_words, map_arrow, stash, temporary
 
 WINDOW, PREFIX = 50, 8
-#: Longer prefixes, each tried where the one before leaves too many leaves together.
-LENGTHS = (16, 32, WINDOW)
-#: Leaves of a group that one task holds as a subtree (about 600 bytes each); few, so that groups spread evenly.
-GROUP = 128
+#: Longer prefixes, each tried where the one before leaves too many leaves together. Every window has half of its
+#: words right or left of the anchor's first.
+HALF = WINDOW // 2
+LENGTHS = (HALF, WINDOW)
+#: Leaves of a group that one task holds as a subtree (about 600 bytes each).
+GROUP = 4096
 _SLOTS = WINDOW - PREFIX + 1
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD)]
 
@@ -200,10 +202,11 @@ def lengthened(parts: DataFrame, length: int) -> DataFrame:
         out: dict[str, list] = {n: [] for n in schema.names}
         for c1, c2, shift, owner, left, windows, text in zip(*(rows[n] for n in ("c1", "c2", "shift", "owner", "left", "windows", "words"))):
             words = text.split()
-            together = max(0, left - (WINDOW - length))  # the first window whose right part is long enough
-            pieces = [(t, t + 1, max(0, left + WINDOW - (left - t) - length), left - t) for t in range(min(together, windows))]
-            if together < windows:
-                pieces.append((together, windows, left, WINDOW))
+            if length == WINDOW:
+                pieces = [(t, t + 1, t, left - t) for t in range(windows)]
+            else:  # the first window whose right part is long enough parts those before it from the rest
+                cut = min(max(0, left - HALF), windows)
+                pieces = [x for x in ((0, cut, left - HALF, -1), (cut, windows, left, -2)) if x[0] < x[1]]
             for first, end, start, tag in pieces:
                 prefix = b" ".join(words[start : start + length]) + b" %d" % tag
                 group, rest = np.frombuffer(xxhash.xxh3_128_digest(prefix), np.int64).tolist()
