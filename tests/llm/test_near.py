@@ -47,10 +47,10 @@ def keys_kept(spark, rows):
     return [(r.doc_id, r.text) for r in kept.collect()]
 
 
-@pytest.mark.parametrize(("pairs", "often", "block"), [(64, 16, 1 << 16), (2, 1, 200)])
-def test_all_near_copies_link(spark, monkeypatch, pairs, often, block):
+@pytest.mark.parametrize(("pairs", "often", "block", "sketched"), [(64, 16, 1 << 18, 2048), (2, 1, 200, 3)])
+def test_all_near_copies_link(spark, monkeypatch, pairs, often, block, sketched):
     """Also where all meetings are groups, shingles count as common at once, and blocks hold few sets."""
-    for name, value in (("PAIRS", pairs), ("OFTEN", often), ("BLOCK", block), ("SAMPLE", 2)):
+    for name, value in (("PAIRS", pairs), ("OFTEN", often), ("BLOCK", block), ("SKETCHED", sketched), ("SAMPLE", 2)):
         monkeypatch.setattr(near, name, value)
     texts = edited()
     got = keys_kept(spark, [(i, t, "x") for i, t in enumerate(texts)])
