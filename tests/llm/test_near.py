@@ -80,6 +80,40 @@ def test_meetings_of_many_nodes_stream():
     assert found == {(i, 0, True) for i in range(1, 500)} | {(501, 500, False), (502, 500, False), (502, 501, False)}
 
 
+def long_texts():
+    """Texts of 3,000 words, of which each has 400 in common with all others but most are its own."""
+    draw = random.Random(8)
+    line = [f"common{i}" for i in range(400)]
+    return [" ".join(line + [f"w{draw.randrange(90000)}" for _ in range(2600)]) for _ in range(12)]
+
+
+def test_sketches_tell_long_texts_apart(spark):
+    """Groups of long texts that share a passage only are cut to nothing, so their sets never meet; pairs likewise."""
+    sets = [near.shingles(near.words_of(t)) for t in long_texts()]
+    nodes = spark.createDataFrame([(i, len(s), near.sketch(s).tolist()) for i, s in enumerate(sets)], "node long, n long, sketch array<long>")
+    groups = nodes.selectExpr("0L as root", "node", "node as part", "n")
+    pairs = nodes.crossJoin(nodes.toDF("b", "m", "y")).where("node > b").selectExpr("node as a", "b")
+    assert pairs.count() == 66 and near.possible(pairs, nodes).count() == 0
+    assert near.finer(groups, nodes).count() == 0
+
+
+@pytest.mark.parametrize(("pairs", "often", "sketched"), [(64, 16, 2048), (2, 1, 3)])
+def test_near_copies_with_sketches_of_two_lengths(spark, monkeypatch, pairs, often, sketched):
+    """Near copies on both sides of each number of places, where one sketch is halved to meet the other."""
+    for name, value in (("PAIRS", pairs), ("OFTEN", often), ("SKETCHED", sketched), ("SAMPLE", 2)):
+        monkeypatch.setattr(near, name, value)
+    texts = long_texts()[:4]
+    for places in (1024, 2048):
+        draw = random.Random(places)
+        for _ in range(3):
+            words = [f"v{draw.randrange(90000)}" for _ in range(places - 40)]
+            texts += [" ".join(words + [f"end{draw.random()}" for _ in range(k)]) for k in (0, 40, 90, 200)]
+    lengths = {len(near.sketch(near.shingles(near.words_of(t)))) for t in texts}
+    assert lengths == {16, 32, 64}
+    got = keys_kept(spark, [(i, t, "x") for i, t in enumerate(texts)])
+    assert sorted(k for k, _ in got) == sorted(set(classes(texts)))
+
+
 def test_rows_without_key(spark):
     alone, null_class, mixed = ("a row without a key and no copy", "two rows without a key are copies", "a null and a key are copies here")
     got = keys_kept(spark, [(None, alone, "x"), (None, null_class, "x"), (None, null_class, "x"), (None, mixed, "x"), (7, mixed, "x")])
