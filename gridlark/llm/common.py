@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 
 #: Characters of text that one Python step handles at a time; longer documents form a step of their own.
 STEP_CHARS = 1 << 20
+#: Spark's setting by which a query's shuffle files go once it ends.
+REMOVES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +51,24 @@ def drop(paths: Iterable[str]) -> None:
 atexit.register(lambda: drop(_stashed))
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what runs inside go as it ends; else they stay until the driver collects its garbage."""
+    before = spark.conf.get(REMOVES_SHUFFLES, None)
+    spark.conf.set(REMOVES_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(REMOVES_SHUFFLES) if before is None else spark.conf.set(REMOVES_SHUFFLES, before)
+
+
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """df, written to the shared folder and read back, and its path."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/gridlark-{label}-{uuid.uuid4().hex}"
     _stashed[path] = spark
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

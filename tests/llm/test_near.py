@@ -1,12 +1,14 @@
 """The near-copy stage against brute-force Jaccard."""
 
 import random
+import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from gridlark.llm import near, simhash
+from gridlark.llm import common, near, simhash
 
 from .test_duplicates import union
 
@@ -125,3 +127,38 @@ def test_repeated_keys(spark):
     first, other = "the first text of a repeated key", "another text that two documents have"
     got = keys_kept(spark, [(1, first, "x"), (1, first, "x"), (1, other, "x"), (2, other, "x")])
     assert sorted(got) == [(1, other), (1, first)]
+
+
+def test_prefixes_are_shuffled_once_by_node(spark, monkeypatch):
+    """Where no row numbers are sent to all executors, one relation alone is written from a join of the prefixes. (Edges are, of shingles exploded before.)"""
+    joined, write = [], common.written
+
+    def written(df, label):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        joined.extend(label for _ in re.findall(r"FileScan parquet \[[^\]]*\bprefix#", plan) if "Join" in plan)
+        return write(df, label)
+
+    for module in (common, near):
+        monkeypatch.setattr(module, "written", written, raising=False)
+    for name, value in (("SENT", 0), ("PAIRS", 2), ("OFTEN", 1), ("SAMPLE", 2)):
+        monkeypatch.setattr(near, name, value)
+    texts = edited()
+    got = keys_kept(spark, [(i, t, "x") for i, t in enumerate(texts)])
+    assert sorted(k for k, _ in got) == sorted(set(classes(texts)))
+    assert [label for label in joined if label != "edges"] == ["placed"]
+
+
+def test_shuffle_files_go_once_a_relation_is_written(spark):
+    """Also without a collection of the driver's garbage; the session's setting stays as it was."""
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if "shuffle_" in (name := files.apply(i).getName())}
+
+    before, setting = shuffled(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    with common.temporary() as keep:
+        assert len(keep(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count(), "counts").collect()) == 7
+    since = time.time()
+    while (left := {x for x in shuffled() - before if x.endswith(".data")}) and time.time() - since < 5:
+        time.sleep(0.1)
+    assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
