@@ -209,7 +209,7 @@ class SheetQuery:
             raise ValueError("A limit is not negative.")
         return self._with(limit=n)
 
-    def with_group_limit(self, n: int) -> SheetQuery:
+    def with_group_limit(self, n: int | None) -> SheetQuery:
         return self._with(max_groups=self.spec.with_group_limit(n).max_groups)
 
     def with_stats(self, profiles: DataFrame | list[dict]) -> SheetQuery:

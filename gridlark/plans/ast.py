@@ -201,7 +201,8 @@ class QuerySpec:
     descending: bool = False
     limit: int | None = None
     simple: bool = False
-    max_groups: int = 10_000
+    #: None: any number of groups.
+    max_groups: int | None = 10_000
     stats: tuple = field(default=())
 
     @classmethod
@@ -210,8 +211,9 @@ class QuerySpec:
 
         return parse(query)
 
-    def with_group_limit(self, n: int) -> QuerySpec:
-        if n < 1:
+    def with_group_limit(self, n: int | None) -> QuerySpec:
+        """None: no limit, for results that stay where they are."""
+        if n is not None and n < 1:
             raise ValueError("A group limit is at least 1.")
         return replace(self, max_groups=n)
 

@@ -273,11 +273,13 @@ def grouped_result(bound: Bound, rows: DataFrame, compiler: Compiler, spec: Quer
     return Result([n for n, _ in shown], out, spec, bound, [v.kind for v in values])
 
 
-def checked(made: DataFrame, most: int) -> DataFrame:
-    """made, which fails at run time if it has more than `most` rows; they stay where they are.
+def checked(made: DataFrame, most: int | None) -> DataFrame:
+    """made, which fails at run time if it has more than `most` rows (None: any number); they stay where they are.
 
     The count reads all columns, so that it shares made's shuffle; the verdict must not move below it.
     """
+    if most is None:
+        return made
     count = made.agg(F.count(F.when(F.xxhash64(*(F.col(c) for c in made.columns)) != 0, 1)).alias("n")).scalar()
     return made.where(F.when(count > most, F.raise_error(F.lit(TOO_MANY)).cast("boolean")).otherwise(F.monotonically_increasing_id() >= 0))
 
