@@ -11,7 +11,7 @@ from decimal import Decimal
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +22,16 @@ from .operators.layout import layout
 from .operators.metadata import metadata
 from .operators.profile import profile
 from .operators.regions import regions
-from .plans.address import letters
+from .plans.address import MAX_ROWS, letters
+from .plans.ast import QuerySpec
 from .samples import SHEETS, rows_of
 from .sources.workbook import cells, files
 
 MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 #: A sheet's last row, and the tables whose key isn't called like them.
 END = 1_048_576
+#: As an area's last row it means all rows, however many workbooks they take.
+LAST = MAX_ROWS
 KEYS = {"supplier": "supp", "orders": "order", "customer": "cust"}
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
@@ -130,6 +133,32 @@ def whole_book(spark: SparkSession, sf_dir: str, *names: str, binary: bool = Fal
     return packed.persist(StorageLevel.DISK_ONLY), last
 
 
+def whole_books(spark: SparkSession, sf_dir: str, *names: str, binary: bool = False) -> DataFrame:
+    """Whole tables of any size as sheets in order of their keys, as (workbook, content, before).
+
+    A table's rows are dealt out by ranges of its key; each range is a workbook of about ROWS rows below a header, or
+    several if it has more than a sheet may hold or than LARGEST. So tasks are bounded, and sheets are written and read
+    side by side. before: how many rows of the table come in earlier workbooks, for sources.workbook.files.
+    """
+    parts = None
+    for name in names:
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        key = f"{name[0]}_{KEYS.get(name, name)}key"
+        count = df.count()
+        rows = df.repartitionByRange(max(1, -(-count // ROWS)), key).sortWithinPartitions(key)
+        part = rows.mapInArrow(sheet_books(name, df.columns, min(LARGEST, END - 1), binary, empty=not count), BOOKS)
+        parts = part if parts is None else parts.union(part)
+    parts = parts.persist(StorageLevel.DISK_ONLY)
+    before, seen = [], dict.fromkeys(names, 0)
+    for book, name, n in sorted(tuple(r) for r in parts.select("workbook", "sheet", "rows").collect()):  # one row a workbook
+        before.append((book, seen[name]))
+        seen[name] += n
+    return parts.select("workbook", "content").join(F.broadcast(spark.createDataFrame(before, "workbook string, before long")), "workbook")
+
+
+#: Rows of a table's workbook, about and at most.
+ROWS, LARGEST = 1 << 16, 1 << 18
+BOOKS = "workbook string, sheet string, rows long, content binary"
 PARTS = "number int, sheet string, place long, body binary"
 
 
@@ -158,6 +187,31 @@ def sheet_parts(number: int, name: str, columns: list[str], line: Callable[[int,
     return run
 
 
+def sheet_books(name: str, columns: list[str], most: int, binary: bool, empty: bool):
+    """Rows to workbooks of one sheet with a header and at most so many rows; their names are in order of tasks. empty: there are no rows."""
+    schema = pa.schema([("workbook", pa.string()), ("sheet", pa.string()), ("rows", pa.int64()), ("content", pa.binary())])
+    line = binary_row if binary else xml_row
+
+    def run(batches):
+        task, made, lines = TaskContext.get().partitionId(), 0, []
+
+        def book():
+            body = b"".join([line(1, columns), *lines])
+            content = binary_zipped({name: body}) if binary else zipped({name: body.decode()})
+            return pa.record_batch([pa.array([x], f.type) for x, f in zip((f"book {task:09d} {made:09d}", name, len(lines), content), schema)], schema=schema)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(lines) == most:
+                    yield book()
+                    made, lines = made + 1, []
+                lines.append(line(len(lines) + 2, list(map(cell_value, row))))
+        if lines or empty and not task:
+            yield book()
+
+    return run
+
+
 def bodies_of(parts: pa.Table) -> dict[str, bytes]:
     ordered = parts.sort_by([("number", "ascending"), ("place", "ascending")])
     bodies: dict[str, list[bytes]] = {}
@@ -195,39 +249,38 @@ def xlsx_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xlsx_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book, last = whole_book(spark, sf_dir, "orders")
-    return native(Workbook.open(spark, book).execute_query(f"SELECT o_orderstatus, COUNT() AS n, ROUND(SUM(o_totalprice), 2) AS total, MAX(o_orderdate) AS last FROM orders!A1:F{last['orders']} HEADER ROW 1 GROUP BY o_orderstatus", ordered=False), ["text", "", "", "date"])
+    query = f"SELECT o_orderstatus, COUNT() AS n, ROUND(SUM(o_totalprice), 2) AS total, MAX(o_orderdate) AS last FROM orders!A1:F{LAST} HEADER ROW 1 GROUP BY o_orderstatus"
+    return native(Workbook.open(spark, whole_books(spark, sf_dir, "orders")).execute_query(QuerySpec.parse(query).with_group_limit(None), ordered=False), ["text", "", "", "date"])
 
 
 def xlsx_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows that match, of which the sheet's rest stays unread."""
-    book, last = whole_book(spark, sf_dir, "orders")
-    result = Workbook.open(spark, book).execute_query(f"FROM orders!A1:F{last['orders']} HEADER ROW 1 SELECT o_orderkey, o_totalprice WHERE o_totalprice > 1000 LIMIT 10")
+    result = Workbook.open(spark, whole_books(spark, sf_dir, "orders")).execute_query(f"FROM orders!A1:F{LAST} HEADER ROW 1 SELECT o_orderkey, o_totalprice WHERE o_totalprice > 1000 LIMIT 10")
     return spark.createDataFrame(result.rows(), "o_orderkey double, o_totalprice double")
 
 
 def xlsx_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book, _ = whole_book(spark, sf_dir, "supplier")
-    return profile(Workbook.open(spark, book).sheet("supplier")).select("column_index", "inferred_header", "dominant_type", "non_empty_count", "number_count", "text_count", "max_numeric")
+    return profile(Workbook.open(spark, whole_books(spark, sf_dir, "supplier")).sheet("supplier")).select("column_index", "inferred_header", "dominant_type", "non_empty_count", "number_count", "text_count", "max_numeric")
 
 
 def xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book, _ = whole_book(spark, sf_dir, "nation", "supplier", "orders")
+    book = whole_books(spark, sf_dir, "nation", "supplier", "orders")
     return cells(files(spark, book)).groupBy("sheet").agg(F.count(F.lit(1)).alias("n"), F.max("row").alias("rows"), F.max("column").alias("columns"), F.count("num").alias("numbers"))
 
 
 def xlsb_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book, last = whole_book(spark, sf_dir, "customer", binary=True)
-    opened = Workbook.open(spark, book)
-    found = opened.execute_query(f"SELECT c_mktsegment, COUNT() AS n, ROUND(SUM(c_acctbal), 2) AS total FROM customer!A1:E{last['customer']} HEADER ROW 1 GROUP BY c_mktsegment", ordered=False)
+    opened = Workbook.open(spark, whole_books(spark, sf_dir, "customer", binary=True))
+    query = f"SELECT c_mktsegment, COUNT() AS n, ROUND(SUM(c_acctbal), 2) AS total FROM customer!A1:E{LAST} HEADER ROW 1 GROUP BY c_mktsegment"
+    found = opened.execute_query(QuerySpec.parse(query).with_group_limit(None), ordered=False)
     return native(found, ["text", "", ""]).withColumn("format", F.lit(opened.format))
 
 
 def xlsx_read_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One cell of each kind and the header."""
-    book, last = whole_book(spark, sf_dir, "supplier")
-    opened = Workbook.open(spark, book)
-    found = [opened.read_cell("supplier", a) for a in ("A1", "B2", f"C{last['supplier']}", "Z9")]
+    """One cell of each kind and the header; the table's last row is read from the workbook that it is in."""
+    book = whole_books(spark, sf_dir, "supplier")
+    before, count = book.agg(F.max("before")).first()[0], spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    opened, end = Workbook.open(spark, book), Workbook.open(spark, book.where(F.col("before") == before).drop("before"))
+    found = [b.read_cell("supplier", a) for b, a in ((opened, "A1"), (opened, "B2"), (end, f"C{count - before + 1}"), (opened, "Z9"))]
     return spark.createDataFrame([(found[0], found[1], found[2], found[3] is None)], "header string, name string, nation double, empty boolean")
 
 

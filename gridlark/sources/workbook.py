@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.kinds import CELL
-from .columns import pieces, rows_of, width
+from .columns import following, pieces, rows_of, width
 from .sheet import ROW, cell_sheet, physical
-from .xlsx import open_package
+from .xlsx import Package, open_package
 
 #: Cells of a long-form relation.
 CELLS = T.StructType([
@@ -24,9 +24,14 @@ SHEETS = T.StructType([T.StructField(n, t) for n, t in (("workbook", T.StringTyp
 
 
 def files(spark: SparkSession, source: str | bytes | DataFrame) -> DataFrame:
-    """(workbook, content) of a path or glob that Spark reads, of bytes, or as given."""
+    """(workbook, content) of a path or glob that Spark reads, of bytes, or as given.
+
+    Given ones may have `before`: how many rows each one's sheet has in workbooks before it, the header not counted.
+    Sheets of one name are then one sheet, with as many rows as they have together; workbooks follow one another in
+    order and are so small that each is one task.
+    """
     if isinstance(source, DataFrame):
-        return source.select("workbook", "content")
+        return source.select("workbook", "content", *(c for c in source.columns if c == "before"))
     if isinstance(source, bytes):
         return spark.createDataFrame([("bytes", bytearray(source))], "workbook string, content binary")
     return spark.read.format("binaryFile").load(source).select(F.col("path").alias("workbook"), "content")
@@ -47,17 +52,26 @@ def sheets(files: DataFrame) -> DataFrame:
     return files.mapInArrow(run, SHEETS)
 
 
+def each_sheet(batch: pa.RecordBatch) -> Iterator[tuple[str, Package, str, int]]:
+    """(workbook, package, sheet, before) of the sheets that rows name, or of all where they name none."""
+    for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+        package = open_package(row["content"])
+        for sheet in [row["sheet"]] if "sheet" in row else package.sheets:
+            yield row["workbook"], package, sheet, row.get("before") or 0
+
+
 def cells(files: DataFrame, names: DataFrame | None = None, mode: str = "values") -> DataFrame:
     """Long form of all cells; one task decodes one sheet. names: (workbook, sheet) pairs, all by default."""
-    names = sheets(files).select("workbook", "sheet") if names is None else names
-    tasks = files.join(names, "workbook").repartition("workbook", "sheet")
+    tasks = files
+    if names is not None or "before" not in files.columns:
+        names = sheets(files).select("workbook", "sheet") if names is None else names
+        tasks = files.join(names, "workbook").repartition("workbook", "sheet")
     arrow = to_arrow_schema(CELLS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one in (batch.slice(i, 1) for i in range(batch.num_rows)):
-                name, content, sheet = (one.column(c)[0].as_py() for c in ("workbook", "content", "sheet"))
-                for found in pieces(open_package(content), sheet, mode == "formulas"):
+            for name, package, sheet, before in each_sheet(batch):
+                for found in following(pieces(package, sheet, mode == "formulas"), before):
                     n = len(found.row)
                     columns = [pa.array([name] * n), pa.array([sheet] * n), pa.array(found.row), pa.array(found.column), *found.parts()]
                     columns += [pa.array(found.has_formula), pa.array(found.array), pa.array(found.formula, pa.string())]
@@ -73,30 +87,38 @@ def wide(files: DataFrame, sheet: str, columns: list[int], mode: str, keep_blank
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content").to_pylist():
-                yield from rows_of(pieces(open_package(content), sheet, mode == "formulas"), columns, keep_blank, arrow)
+            for _, package, name, before in each_sheet(batch):
+                if name == sheet:
+                    yield from rows_of(following(pieces(package, sheet, mode == "formulas"), before), columns, keep_blank, arrow)
 
     return files.mapInArrow(run, schema)
 
 
 def widths(files: DataFrame) -> DataFrame:
     """SHEETS with `width`, each sheet's last column that has a cell; one task a sheet, which decodes no value."""
-    known = files.join(sheets(files), "workbook").repartition("workbook", "sheet")
+    if "before" in files.columns:
+        known = files
+    else:
+        known = files.join(sheets(files).select("workbook", "sheet"), "workbook").repartition("workbook", "sheet")
     schema = T.StructType([*SHEETS, T.StructField("width", T.IntegerType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                yield pa.RecordBatch.from_pylist([row | {"width": width(open_package(row.pop("content")), row["sheet"])}], schema=arrow)
+            for name, p, sheet, _ in each_sheet(batch):
+                found = (name, sheet, list(p.sheets).index(sheet), p.format, p.date1904, p.has_macros, width(p, sheet))
+                yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, found))], schema=arrow)
 
     return known.mapInArrow(run, schema)
 
 
 def open_workbook(kind, spark: SparkSession, source: str | bytes | DataFrame, mode: str):
-    """A Workbook of all sheets of one file. One job learns the sheets' names and widths."""
+    """A Workbook of all sheets of one file, or of the sheets that files have together. One job learns the sheets' names and widths."""
     content = files(spark, source)
-    rows = widths(content).orderBy("position").collect()
+    found = widths(content)
+    if "before" in content.columns:
+        found = found.groupBy("sheet").agg(F.min("position").alias("position"), F.max("width").alias("width"), *(F.min_by(c, "workbook").alias(c) for c in ("format", "date1904", "macros")))
+    rows = found.orderBy("position", "sheet").collect()
     out = []
     for r in rows:
         one = lambda columns, r=r: wide(content, r["sheet"], columns, mode, keep_blank=r["format"] != "xlsb")
