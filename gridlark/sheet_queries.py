@@ -141,12 +141,14 @@ def whole_books(spark: SparkSession, sf_dir: str, *names: str, binary: bool = Fa
     side by side. before: how many rows of the table come in earlier workbooks, for sources.workbook.files.
     """
     parts = None
-    for name in names:
+    for number, name in enumerate(names, 1):
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         key = f"{name[0]}_{KEYS.get(name, name)}key"
         count = df.count()
         rows = df.repartitionByRange(max(1, -(-count // ROWS)), key).sortWithinPartitions(key)
-        part = rows.mapInArrow(sheet_books(name, df.columns, min(LARGEST, END - 1), binary, empty=not count), BOOKS)
+        part = rows.mapInArrow(sheet_books(number, name, df.columns, min(LARGEST, END - 1), binary), BOOKS)
+        if not count:
+            part = spark.createDataFrame([(f"book {number:03d}", name, 0, packed(name, [binary_row(1, df.columns) if binary else xml_row(1, df.columns)], binary))], BOOKS)
         parts = part if parts is None else parts.union(part)
     parts = parts.persist(StorageLevel.DISK_ONLY)
     before, seen = [], dict.fromkeys(names, 0)
@@ -187,8 +189,13 @@ def sheet_parts(number: int, name: str, columns: list[str], line: Callable[[int,
     return run
 
 
-def sheet_books(name: str, columns: list[str], most: int, binary: bool, empty: bool):
-    """Rows to workbooks of one sheet with a header and at most so many rows; their names are in order of tasks. empty: there are no rows."""
+def packed(name: str, lines: list[bytes], binary: bool) -> bytearray:
+    body = b"".join(lines)
+    return bytearray(binary_zipped({name: body}) if binary else zipped({name: body.decode()}))
+
+
+def sheet_books(number: int, name: str, columns: list[str], most: int, binary: bool):
+    """Rows to workbooks of one sheet with a header and at most so many rows; their names are in order of tables and tasks."""
     schema = pa.schema([("workbook", pa.string()), ("sheet", pa.string()), ("rows", pa.int64()), ("content", pa.binary())])
     line = binary_row if binary else xml_row
 
@@ -196,9 +203,8 @@ def sheet_books(name: str, columns: list[str], most: int, binary: bool, empty: b
         task, made, lines = TaskContext.get().partitionId(), 0, []
 
         def book():
-            body = b"".join([line(1, columns), *lines])
-            content = binary_zipped({name: body}) if binary else zipped({name: body.decode()})
-            return pa.record_batch([pa.array([x], f.type) for x, f in zip((f"book {task:09d} {made:09d}", name, len(lines), content), schema)], schema=schema)
+            content = packed(name, [line(1, columns), *lines], binary)
+            return pa.record_batch([pa.array([x], f.type) for x, f in zip((f"book {number:03d} {task:09d} {made:09d}", name, len(lines), content), schema)], schema=schema)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -206,7 +212,7 @@ def sheet_books(name: str, columns: list[str], most: int, binary: bool, empty: b
                     yield book()
                     made, lines = made + 1, []
                 lines.append(line(len(lines) + 2, list(map(cell_value, row))))
-        if lines or empty and not task:
+        if lines:
             yield book()
 
     return run

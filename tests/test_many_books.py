@@ -8,6 +8,7 @@ from gridlark import sheet_queries
 from gridlark.api import Workbook
 from gridlark.sources import columns
 from gridlark.sources.workbook import cells, files
+from gridlark.sources.xlsx import open_package
 
 N = 1000
 
@@ -37,3 +38,15 @@ def test_group(spark, folder, small):
     found = {r.o_orderstatus: r for r in sheet_queries.QUERIES["xlsx_group"](spark, folder).collect()}
     price = lambda i: 2000.0 - i if i % 3 else 1.0
     assert {s: (r.n, r.total, r.last) for s, r in found.items()} == {s: (500, sum(map(price, range(k, N, 2))), datetime(2024, 1, 2)) for k, s in enumerate("FO")}
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sheet_queries.QUERIES["xlsx_group"](spark, str(tmp_path)).collect() == sheet_queries.QUERIES["xlsx_limit"](spark, str(tmp_path)).collect() == []
+
+
+def test_cells(spark, folder, small):
+    found = {r.sheet: (r.n, r.rows, r.columns, r.numbers) for r in sheet_queries.QUERIES["xlsx_cells"](spark, folder).collect()}
+    assert found == {"nation": (78, 26, 3, 50), "supplier": (524, 131, 4, 390), "orders": (6 * N + 6, N + 1, 6, 3 * N)}
+    again = cells(files(spark, sheet_queries.whole_books(spark, folder, "orders"))).where("column = 1").orderBy("row").collect()
+    assert [(r.row, r.num, r.text) for r in again] == [(1, None, "o_orderkey"), *((i + 2, i, None) for i in range(N))]
