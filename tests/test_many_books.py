@@ -50,3 +50,17 @@ def test_cells(spark, folder, small):
     assert found == {"nation": (78, 26, 3, 50), "supplier": (524, 131, 4, 390), "orders": (6 * N + 6, N + 1, 6, 3 * N)}
     again = cells(files(spark, sheet_queries.whole_books(spark, folder, "orders"))).where("column = 1").orderBy("row").collect()
     assert [(r.row, r.num, r.text) for r in again] == [(1, None, "o_orderkey"), *((i + 2, i, None) for i in range(N))]
+
+
+def test_limit(spark, folder, small):
+    first = [(float(i), 2000.0 - i) for i in range(N) if i % 3 and i < 1000][:10]
+    assert [tuple(r) for r in sheet_queries.QUERIES["xlsx_limit"](spark, folder).collect()] == first
+    book = Workbook.open(spark, sheet_queries.whole_books(spark, folder, "orders"))
+    rows = book.execute_query(f"FROM orders!A1:F{sheet_queries.LAST} HEADER ROW 1 SELECT o_orderkey WHERE o_orderkey >= 150 LIMIT 500").rows()
+    assert rows == [(float(i),) for i in range(150, 650)]
+
+
+def test_single_cells(spark, folder, small):
+    assert [tuple(r) for r in sheet_queries.QUERIES["xlsx_read_cell"](spark, folder).collect()] == [("s_suppkey", "supplier 0", 129.0, True)]
+    profiled = {r.inferred_header: r for r in sheet_queries.QUERIES["xlsx_profile"](spark, folder).collect()}
+    assert profiled["s_suppkey"].number_count == 130 and profiled["s_suppkey"].max_numeric == 129 and profiled["s_name"].text_count == 131
