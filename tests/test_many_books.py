@@ -64,3 +64,17 @@ def test_single_cells(spark, folder, small):
     assert [tuple(r) for r in sheet_queries.QUERIES["xlsx_read_cell"](spark, folder).collect()] == [("s_suppkey", "supplier 0", 129.0, True)]
     profiled = {r.inferred_header: r for r in sheet_queries.QUERIES["xlsx_profile"](spark, folder).collect()}
     assert profiled["s_suppkey"].number_count == 130 and profiled["s_suppkey"].max_numeric == 129 and profiled["s_name"].text_count == 131
+
+
+def test_binary_group(spark, folder, small):
+    found = {r.c_mktsegment: (r.n, r.total, r.format) for r in sheet_queries.QUERIES["xlsb_group"](spark, folder).collect()}
+    assert found == {s: (500, float(sum(i % 7 > 0 for i in range(k, N, 2))), "xlsb") for k, s in enumerate("AB")}
+
+
+def test_rows_stay_whole(monkeypatch):
+    """A binary sheet's cells come in pieces that end with rows; a row in two pieces would count twice."""
+    monkeypatch.setattr(columns, "CELLS", 7)
+    body = b"".join(sheet_queries.binary_row(r, [float(r), "x", None if r % 3 else 1.0]) for r in range(1, 30))
+    package = open_package(sheet_queries.binary_zipped({"S": body}))
+    seen = [set(c.row.tolist()) for c in columns.pieces(package, "S")]
+    assert len(seen) > 5 and sum(map(len, seen)) == len(set().union(*seen)) == 29
