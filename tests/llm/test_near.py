@@ -7,6 +7,7 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gridlark.llm import common, near, simhash
 
@@ -162,3 +163,18 @@ def test_shuffle_files_go_once_a_relation_is_written(spark):
     while (left := {x for x in shuffled() - before if x.endswith(".data")}) and time.time() - since < 5:
         time.sleep(0.1)
     assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_texts_stay_in_place(spark, monkeypatch):
+    """Where there are more rows than row numbers that may be sent, words of 64 of them go to the rows, which aren't shuffled."""
+    monkeypatch.setattr(near, "SENT", 40)
+    monkeypatch.setattr(near, "kept_rows", lambda docs: docs.where("key % 3 = 0").select(F.col("row").alias("__id")))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = near.keep_one(spark.range(0, 900, 1, 3).selectExpr("id AS doc_id", "concat('text ', id) AS text"))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(i, f"text {i}") for i in range(0, 900, 3)]
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
